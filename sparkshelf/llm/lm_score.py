@@ -157,27 +157,43 @@ def train(docs: DataFrame, base: float = LOG_BASE) -> tuple[DataFrame, int]:
 class Model:
     """The broadcast form: sorted unigram table and the filter's blocks, end to end."""
 
-    def __init__(self, rows: list, n_buckets: int, base: float):
+    def __init__(self, rows, n_buckets: int, base: float, n_words: int, n_bytes: int):
+        """rows: blocks, taken one at a time; n_words, n_bytes: what they hold of words and of filter."""
         self.n_buckets, self.base = n_buckets, base
-        words = [r for r in rows if r["kind"] == 1]
-        h = np.frombuffer(b"".join(r["body"] for r in words), np.uint64)
-        n = np.frombuffer(b"".join(r["n"] for r in words), np.int64)
-        order = np.argsort(h)
-        self.h, self.n = h[order], n[order].astype(np.uint32 if n.max(initial=0) < 2**32 else np.int64)
+        self.h, self.n = np.empty(n_words, np.uint64), np.empty(n_words, np.uint32)
+        self.bytes = np.empty(n_bytes, np.uint8)
         self.start, self.bits = np.zeros(n_buckets, np.uint64), np.zeros(n_buckets, np.uint64)
-        blocks, at = [], 0
+        self.first, self.last = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
+        at = word = 0
         for r in rows:
+            b, body = r["bucket"], np.frombuffer(r["body"], np.uint8)
             if r["kind"] == 2:
-                self.start[r["bucket"]], self.bits[r["bucket"]] = at * 8, len(r["body"]) * 8
-                blocks.append(r["body"])
-                at += len(r["body"])
-        self.bytes = np.frombuffer(b"".join(blocks), np.uint8)
+                self.bytes[at : at + len(body)] = body
+                self.start[b], self.bits[b] = at * 8, len(body) * 8
+                at += len(body)
+            else:
+                h, n = body.view(np.uint64), np.frombuffer(r["n"], np.uint64)
+                if n.max(initial=0) >= 2**32 and self.n.dtype == np.uint32:
+                    self.n = self.n.astype(np.uint64)
+                self.h[word : word + len(h)], self.n[word : word + len(h)] = h, n
+                self.first[b], self.last[b] = word, word + len(h)
+                word += len(h)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.n[at], 0).astype(np.int64)
+        """Exact count of each word: a binary search in the sorted words of its bucket, in all at once."""
+        b = _bucket(h, self.n_buckets)
+        lo, hi = self.first[b], self.last[b]
+        end = hi.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.h[mid] < h[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+        out = np.zeros(len(h), np.int64)
+        there = np.flatnonzero(lo < end)
+        there = there[self.h[lo[there]] == h[there]]
+        out[there] = self.n[lo[there]]
+        return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram: probes go on until the first miss."""
@@ -244,7 +260,7 @@ def _probe_bucket(n_buckets: int, base: float):
         h = right["pair"].to_numpy(np.int64)
         if not len(left):
             return pd.DataFrame({"pair": h, "n_pair": np.zeros(len(h))})
-        m = Model([{"kind": 2, "bucket": int(left["bucket"].iloc[0]), "body": left["body"].iloc[0]}], n_buckets, base)
+        m = Model([{"kind": 2, "bucket": int(left["bucket"].iloc[0]), "body": left["body"].iloc[0]}], n_buckets, base, 0, len(left["body"].iloc[0]))
         return pd.DataFrame({"pair": h, "n_pair": expected(m.levels(h.view(np.uint64)), base)})
 
     return run
@@ -285,11 +301,12 @@ def score(docs: DataFrame, learn_from, base: float = LOG_BASE, mu: float = MU, b
     base_score, score (both log10). `learn_from`: a boolean Column that marks the rows to learn from."""
     rows = docs.select("doc_id", (~learn_from).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     blocks, n = train(rows.where("not held_out"), base)
-    sizes = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.sum("items").alias("items"), F.sum("total").alias("total"), F.sum(F.length("body") + F.coalesce(F.length("n"), F.lit(0))).alias("bytes")).collect()}
+    sizes = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.sum("items").alias("items"), F.sum("total").alias("total"), F.sum(F.length("body")).alias("bytes")).collect()}
     vocab, total = (sizes[1]["items"], sizes[1]["total"]) if 1 in sizes else (0, 0)
     n_docs = rows.where("not held_out").count()
-    if sum(r["bytes"] for r in sizes.values()) <= broadcast_bytes:
-        model = docs.sparkSession.sparkContext.broadcast(Model(blocks.collect(), n, base))
+    if vocab * 12 + (sizes[2]["bytes"] if 2 in sizes else 0) <= broadcast_bytes:
+        # Block by block, so that the driver holds the model once.
+        model = docs.sparkSession.sparkContext.broadcast(Model(blocks.toLocalIterator(), n, base, vocab, sizes[2]["bytes"] if 2 in sizes else 0))
         out = rows.mapInArrow(_score_batches(model, total, vocab, n_docs, mu), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     else:
         out = _score_by_join(rows, blocks, n, base, total, vocab, n_docs, mu)

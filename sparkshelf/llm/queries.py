@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import lm_score, simhash_dedup
+from . import bpe, decontaminate, lm_score, simhash_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_lm_scoring": lm_score.op1_lm_scoring,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
+    "op9_url_filters": url_rules.op9_url_filters,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_url_filters": url_rules.OP9_SQL}
