@@ -189,6 +189,39 @@ def free_name(base: str, taken) -> str:
     return base
 
 
+def _bloom_bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    g = mix(h)
+    return [((g + U64(k) * ((g >> U64(32)) | U64(1))) % U64(size)).astype(np.int64) for k in range(3)]
+
+
+def _bloom_parts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for at in _bloom_bits(batch.column(0).to_numpy().view(np.uint64), size):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(bits).astype(np.uint32).tobytes()], pa.binary())], names=["at"])
+
+    return run
+
+
+def bloom(hashes: DataFrame, most_bytes: int) -> np.ndarray:
+    """Bloom filter (bytes) of a column of 64-bit hashes: 16 bits each, `most_bytes` at most. Fuller filters pass more, but never miss."""
+    hashes = cut(hashes)
+    size = int(min(most_bytes * 8, max(1 << 16, hashes.count() * 16))) // 8 * 8
+    out = np.zeros(size, bool)
+    for row in hashes.mapInArrow(_bloom_parts(size), "at binary").toLocalIterator():  # a part at a time: 4 bytes a bit set, bounded by the filter
+        out[np.frombuffer(row["at"], np.uint32)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def may_hold(filter_bytes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(h), bool)
+    for at in _bloom_bits(h, len(filter_bytes) * 8):
+        ok &= (filter_bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return ok
+
+
 class Forest:
     """Union-find over 0..n-1; the root of a set is its smallest member."""
 
