@@ -7,13 +7,12 @@ whole sequence). A window is a match where its weighted Jaccard similarity
 sum(min)/sum(max) with the item is 0.8 or more.
 
 Search. Both sides have a 64-bit SimHash. It is cut into four 16-bit blocks; of two
-fingerprints within `RADIUS` (15) bits some block differs in 3 bits at most, so the
-index holds, for each block, every value within 3 bits of an item's: four lookups
-find all items within the radius. Candidates within the radius are then compared
-exactly. Two sets of similarity 0.8 lie about 9.5 bits apart on average; fingerprints
-of few shingles scatter widely around that, so items whose expected distance plus
-three standard deviations (`reach`) exceeds the radius, and any window that shares
-over half of the item's shingles, also go to the exact check: none is lost to chance.
+fingerprints within `RADIUS` (19) bits some block differs in 4 bits at most, so the
+index holds, for each block, every value within 4 bits of an item's: four lookups
+find all items within the radius, for certain. Candidates are then compared exactly.
+Sets of similarity 0.8 lie 9.5 bits apart on average, with a standard deviation of
+2.8; so at the threshold itself one in some thousand lies beyond the radius, and
+fewer above it (equal sets have distance 0).
 
 Only windows that share a shingle with an item of their size are fingerprinted: a
 window with no shared shingle has similarity 0.
@@ -43,10 +42,10 @@ from . import _common as c
 from ._common import U64
 
 WORDS, SIMILAR = 5, 0.8
-RADIUS, BLOCKS = 15, 4
+RADIUS, BLOCKS = 19, 4
 BROADCAST_BYTES = 128 << 20
-#: What one item takes in the index: 4 blocks of 697 neighbours each, its shingles aside.
-ITEM_BYTES = 4 * 697 * 8
+#: What one item takes in the index: 4 blocks of 2517 neighbours each, its shingles aside.
+ITEM_BYTES = 4 * 2517 * 4
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -81,30 +80,28 @@ class Index:
                 owner.setdefault(s, []).append(k)
         self.shingles = np.array(sorted(owner), np.uint64)
         self.owners = [owner[s] for s in self.shingles.tolist()]
-        self.sizes = sorted(set(self.words))
-        near = [sum(1 << i for i in at) for r in range(RADIUS // BLOCKS + 1) for at in combinations(range(16), r)]
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for k, f in enumerate(self.prints):
-            for b in range(BLOCKS):
-                v = f >> (16 * b) & 0xFFFF
-                for m in near:
-                    self.blocks[b].setdefault(v ^ m, []).append(k)
-        # Few shingles: the distance of similar sets scatters beyond the radius.
-        self.wide = [k for k, bag in enumerate(self.bags) if self.reach(sum(bag.values())) > RADIUS]
-        self.shortest = min(self.words, default=0)
-
-    @staticmethod
-    def reach(n: int) -> float:
-        """Expected distance at the least similarity, plus three standard deviations, of n-shingle sets."""
-        share = np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi
-        return 64 * share + 3 * np.sqrt(64 * share * (1 - share)) * (1 + 4 / max(n, 1))
-
-    def within(self, f: int) -> set[int]:
-        """Every item whose fingerprint is within RADIUS bits of f."""
-        found: set[int] = set()
+        #: Items of fewer words than a shingle: by size, the items of each hash of the whole sequence.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, n in enumerate(self.words):
+            if n < WORDS:
+                self.short.setdefault(n, {}).setdefault(next(iter(self.bags[k])), []).append(k)
+        near = np.array([sum(1 << i for i in at) for r in range(RADIUS // BLOCKS + 1) for at in combinations(range(16), r)], np.uint64)
+        #: For each block: items by value, and where each value's begin.
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.prints = np.array(self.prints, np.uint64)
         for b in range(BLOCKS):
-            found.update(self.blocks[b].get(f >> (16 * b) & 0xFFFF, ()))
-        return {k for k in found if (self.prints[k] ^ f).bit_count() <= RADIUS}
+            value = (((self.prints >> U64(16 * b)) & U64(0xFFFF))[:, None] ^ near[None, :]).astype(np.int64).ravel()
+            order = np.argsort(value, kind="stable")
+            self.blocks.append(((order // len(near)).astype(np.int32), np.searchsorted(value[order], np.arange(65537))))
+
+    def within(self, f: int) -> list[int]:
+        """Every item whose fingerprint is within RADIUS bits of f."""
+        found = []
+        for b, (items, begin) in enumerate(self.blocks):
+            v = f >> (16 * b) & 0xFFFF
+            found.append(items[begin[v] : begin[v + 1]])
+        found = np.unique(np.concatenate(found))
+        return found[np.bitwise_count(self.prints[found] ^ U64(f)) <= RADIUS].tolist()
 
 
 def match_document(index: Index, sh: np.ndarray, n_words: int, at: np.ndarray, which: np.ndarray) -> dict[int, tuple[float, int, int]]:
@@ -137,10 +134,9 @@ def match_document(index: Index, sh: np.ndarray, n_words: int, at: np.ndarray, w
             live = [k for k, n in hits.items() if n >= SIMILAR * len(part) * 0.5]
             if not live:
                 continue
-            candidates = index.within(simhash(part)) | {k for k in live if k in index.wide_set or hits[k] * 2 > sum(index.bags[k].values())}
             bag = None
-            for k in candidates:
-                if max(1, index.words[k] - WORDS + 1) != span:
+            for k in index.within(simhash(part)):
+                if k not in hits or max(1, index.words[k] - WORDS + 1) != span:
                     continue
                 bag = bag or Counter(part.tolist())
                 s = weighted_jaccard(index.bags[k], bag)
@@ -152,26 +148,34 @@ def match_document(index: Index, sh: np.ndarray, n_words: int, at: np.ndarray, w
 def _match_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        index.wide_set = set(index.wide)
         for rows, data, offs in c.slices(batches, "text"):
             n = rows.num_rows
             h, _, _, row = c.words_of(data, offs)
             sh, of, _ = c.word_shingles(h, row, n, WORDS)
             if not len(sh) or not len(index.shingles):
                 continue
-            at = np.minimum(np.searchsorted(index.shingles, sh), len(index.shingles) - 1)
-            hit = np.flatnonzero(index.shingles[at] == sh)
-            if not len(hit):
-                continue
             words = np.bincount(row, minlength=n)
-            begin = np.searchsorted(of, np.arange(n + 1))
             ids = rows.column(0).to_pylist()
             out: list[tuple] = []
+            at = np.minimum(np.searchsorted(index.shingles, sh), len(index.shingles) - 1)
+            hit = np.flatnonzero((index.shingles[at] == sh) & (words[of] >= WORDS))
+            begin = np.searchsorted(of, np.arange(n + 1))
             for r in np.unique(of[hit]).tolist():
                 lo, hi = begin[r], begin[r + 1]
                 mine = hit[np.searchsorted(hit, lo) : np.searchsorted(hit, hi)]
                 for k, (s, w, size) in match_document(index, sh[lo:hi], int(words[r]), mine - lo, at[mine]).items():
                     out.append((ids[r], index.ids[k], s, w, size))
+            # Windows of fewer words than a shingle are alike or equal: their one shingle is the whole sequence.
+            first = np.concatenate([[0], np.cumsum(words)])
+            for size, items in index.short.items():
+                windows = c.combine(h, size)
+                same = np.flatnonzero((row[: len(windows)] == row[size - 1 :]) & np.isin(windows, np.array(list(items), np.uint64)))
+                seen = set()
+                for p in same.tolist():
+                    for k in items[int(windows[p])]:
+                        if (row[p], k) not in seen:
+                            seen.add((row[p], k))
+                            out.append((ids[row[p]], index.ids[k], 1.0, p - int(first[row[p]]), size))
             if out:
                 a, b, s, w, size = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, rows.schema.field(0).type), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.array(w, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
