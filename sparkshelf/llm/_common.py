@@ -243,27 +243,50 @@ class Forest:
         return True
 
 
+def _stars(large: bool):
+    """Rows (u, v) sorted by u and v. Large star: each v > u is linked to the least of u and its neighbours. Small star (all
+    v < u): u and its other neighbours are linked to the least of these. Rows stream through; of a node only its least
+    neighbour is held, however many it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = least = before = None
+        for batch in batches:
+            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(u):
+                continue
+            first = np.concatenate([[node is None or u[0] != node], u[1:] != u[:-1]])
+            new = np.concatenate([[bool(first[0]) or v[0] != before], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+            begin = np.flatnonzero(first)
+            group = np.cumsum(first) - 1
+            low = np.minimum(u[begin], v[begin]) if large else v[begin]
+            m = np.where(group >= 0, low[np.maximum(group, 0)] if len(low) else 0, least if least is not None else 0)
+            keep = new & (v > u) if large else new & (v != m)
+            a, b = v[keep], m[keep]
+            if not large:
+                a, b = np.concatenate([a, u[begin]]), np.concatenate([b, m[begin]])
+            node, least, before = u[-1], m[-1], v[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+
+    return run
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of an edge table: the root is the smallest node its component holds.
 
-    Distributed union-find by alternating large-star and small-star rounds: a
-    round is two shuffles by node with map-side minima, and its number grows with
-    the logarithm of the component size. Neither links nor components leave the
-    executors; each round is cut with checkpoint(). A node with very many
-    neighbours is aggregated map-side, never gathered into a list.
+    Distributed union-find by alternating large-star and small-star rounds: a round
+    is two exchanges by node, streamed through in order, and the number of rounds
+    grows with the logarithm of the component size. Neither links nor components
+    leave the executors; each round is cut with checkpoint().
     """
     digest = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    pairs = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    n = max(2, n_buckets(edges.sparkSession) // 2)
+    by_node = lambda x: x.repartition(n, "u").sortWithinPartitions("u", "v")
+    pairs = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     before = digest(pairs)
     for _ in range(most_rounds if before[0] else 0):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        # Large star: each larger neighbour of u is linked to the least node of u's neighbourhood.
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours are linked to the least of those.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        pairs = cut(small)
+        both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = by_node(both).mapInArrow(_stars(True), "u bigint, v bigint")
+        pairs = cut(by_node(large).mapInArrow(_stars(False), "u bigint, v bigint"))
         after = digest(pairs)
         if before == after:
             break
@@ -271,4 +294,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         if before[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    pairs = pairs.distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,7 +12,8 @@ Steps.
 2. Signatures: `HASHES` (5) hash functions split their range into `BINS` (18); the
    least value of each bin is kept, and an empty bin borrows from the next full one.
    Bin k of all five functions is band k, so 0.8-similar lines of some hundred
-   shingles share a band with probability 1 - (1 - 0.8^5)^18 = 0.9992.
+   shingles share a band with probability 1 - (1 - 0.8^5)^18 = 0.9992. Lines of 64
+   shingles or more sign the half of them that has an even hash (`band_hashes`).
 3. Bands meet in hash-partitioned binary blocks (12 bytes an entry). Only sets of
    two lines or more go on; equal member sets of several bands go on once.
 4. The texts of those lines, and of no others, meet their sets. A Bloom filter of at
@@ -43,6 +44,10 @@ from ._common import U64
 
 SHINGLE, SIMILAR = 8, 0.8
 HASHES, BINS = 5, 18
+#: Lines of so many shingles sign half of them.
+FEW = 64
+#: Bytes of text in hand while signing: small enough for the cache of a core.
+SLICE = 1 << 17
 CHUNK = 2048
 BLOOM_BYTES = 16 << 20
 _BLANK = np.zeros(256, bool)
@@ -79,8 +84,10 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     line = np.repeat(long, n)
     at = np.repeat(starts[long] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     if len(data) >= SHINGLE:
-        eight = np.lib.stride_tricks.as_strided(data, (len(data) - SHINGLE + 1, SHINGLE), (1, 1))
-        h = c.mix(np.ascontiguousarray(eight[at]).view(np.uint64)[:, 0])
+        two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << U64(8)
+        four = two[:-2] | two[2:] << U64(16)
+        eight = four[:-4] | four[4:] << U64(32)
+        h = c.mix(eight[at])
     else:
         h = np.zeros(0, np.uint64)
     short = np.flatnonzero(size < SHINGLE)
@@ -91,17 +98,21 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """uint64 band hashes, (n, BINS)."""
+    """uint64 band hashes, (n, BINS). A function is 32 bits of a hash: 20 of value, 12 that pick the bin."""
     out = np.zeros((n, BINS), np.uint64)
     empty = np.uint32(0xFFFFFFFF)
-    base = line * BINS
+    base = (line * BINS).astype(np.int64)
     for f in range(HASHES):
-        x = h * _SEEDS[f]
-        x ^= x >> U64(32)
-        x *= U64(0xBF58476D1CE4E5B9)
-        top = (x >> U64(32)).astype(np.uint32)
+        if f % 2 == 0:
+            x = h * _SEEDS[f]
+            x ^= x >> U64(32)
+            x *= U64(0xBF58476D1CE4E5B9)
+            x ^= x >> U64(29)
+            part = x.astype(np.uint32)
+        else:
+            part = (x >> U64(32)).astype(np.uint32)
         sig = np.full(n * BINS, empty, np.uint32)
-        np.minimum.at(sig, base + ((x & U64(0xFFFFFFFF)) * U64(BINS) >> U64(32)).astype(np.int64), np.minimum(top, np.uint32(0xFFFFFFFE)))
+        np.minimum.at(sig, base + ((part & np.uint32(4095)) * np.uint32(BINS) >> np.uint32(12)), part >> np.uint32(12))
         sig = sig.reshape(n, BINS)
         hole = sig == empty
         if hole.any():
@@ -116,6 +127,40 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, (n, BINS) band hashes) of lines, those near `FEW` shingles twice.
+
+    Lines of FEW shingles or more sign those of even hash, half of them, which are the same in both lines of a pair;
+    shorter lines sign all. Two lines of similarity 0.8 differ in size by a factor of 0.8 at most, so lines around FEW
+    sign both ways, and every pair meets in one of the two."""
+    size = np.maximum(ends - starts - SHINGLE + 1, 1)
+    out = []
+    many = np.flatnonzero(size >= SIMILAR * FEW)
+    few = np.flatnonzero(size < FEW / SIMILAR)
+    if len(many):
+        n = len(data) - SHINGLE + 1
+        two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << U64(8)
+        four = two[:-2] | two[2:] << U64(16)
+        x = (four[:-4] | four[4:] << U64(32)) * U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(32)
+        x *= U64(0x94D049BB133111EB)
+        x ^= x >> U64(29)
+        # Number of the line that a position's shingle lies in, -1 between lines.
+        first, stop = starts[many], ends[many] - SHINGLE + 1
+        edge = np.empty(2 * len(many) + 1, np.int64)
+        edge[0:-1:2], edge[1::2], edge[-1] = first, stop, n
+        name = np.full(2 * len(many) + 1, -1, np.int32)
+        name[1::2] = np.arange(len(many), dtype=np.int32)
+        number = np.repeat(name, np.diff(edge, prepend=0))
+        at = np.flatnonzero((number >= 0) & (x.astype(np.uint8) & np.uint8(1) == 0))
+        sig = signatures(x[at], number[at], len(many))
+        out.append((many, sig))
+    if len(few):
+        h, line = shingle_hashes(data, starts[few], ends[few])
+        out.append((few, c.mix(signatures(h, line, len(few)) + U64(1))))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in c.slices(batches, "text"):
         starts, ends, row, number = lines_of(data, offs)
@@ -127,11 +172,11 @@ def _band_blocks(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
         size = 0
 
         def flush():
-            lines, first = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
-            sig = np.concatenate([x for _, x in held])[first]
+            lines, sig = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             key = (sig + np.arange(BINS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)).ravel()
             key = c.mix(key)
             who = np.repeat(lines, BINS)
@@ -143,15 +188,19 @@ def _band_blocks(n_buckets: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([who[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["bucket", "keys", "lines"])
 
-        for _, data, offs in c.slices(batches, "text"):
+        for _, data, offs in c.slices(batches, "text", SLICE):
             starts, ends, _, _ = lines_of(data, offs)
             if not len(starts):
                 continue
-            lines, first = np.unique(c.span_hashes(data, None, starts, ends), return_index=True)
-            starts, ends = starts[first], ends[first]
-            h, line = shingle_hashes(data, starts, ends)
-            held.append((lines, signatures(h, line, len(lines))))
-            size += len(lines)
+            lines = c.span_hashes(data, None, starts, ends)
+            if len(seen) > 400_000:
+                seen.clear()
+            new = [i for i, x in enumerate(lines.tolist()) if not (x in seen or seen.add(x))]
+            if not new:
+                continue
+            line, sig = band_hashes(data, starts[new], ends[new])
+            held.append((lines[new][line], sig))
+            size += len(line)
             if size >= 60_000:
                 yield flush()
                 size = 0
@@ -203,20 +252,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, task) of each member: one task for a set, or for each pair of chunks of a large one."""
+    lines, tasks, size = [], [], 0
+
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lines)), pa.array(np.concatenate(tasks))], names=["line", "task"])
+
     for batch in batches:
         for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             who = np.frombuffer(members, np.int64)
             parts = -(-len(who) // CHUNK)
-            if parts == 1:
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([f"{name}"] * len(who), pa.string())], names=["line", "task"])
-                continue
-            for k in range(parts):
-                mine = who[k * CHUNK : (k + 1) * CHUNK]
-                for other in range(parts):
-                    if other == k and parts > 1:
-                        continue
-                    a, b = min(k, other), max(k, other)
-                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array([f"{name}/{a}-{b}"] * len(mine), pa.string())], names=["line", "task"])
+            for a in range(parts):
+                for b in range(a + 1, parts) if parts > 1 else [0]:
+                    mine = np.concatenate([who[k * CHUNK : (k + 1) * CHUNK] for k in sorted({a, b})])
+                    pair = np.array([name, a << 32 | b]).view(np.uint64)
+                    lines.append(mine)
+                    tasks.append(np.full(len(mine), c.signed(c.mix(pair[:1] + c.mix(pair[1:])))[0]))
+                    size += len(mine)
+                    if size >= 50_000:
+                        yield flush()
+                        lines, tasks, size = [], [], 0
+    if lines:
+        yield flush()
 
 
 def _active_texts(shared):
@@ -281,26 +337,80 @@ def linked(bodies: list[bytes], similar: float = SIMILAR) -> Iterator[tuple[int,
             return
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, line, body) sorted by task: links (a, b)."""
-    task, who, bodies = None, [], []
+def _exact(a: bytes, b: bytes) -> bool:
+    x, y = ({t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} or {t} for t in (a, b))
+    both = len(x & y)
+    return both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
+
+
+def _small_tasks(task: np.ndarray, bodies: list[bytes], most: int) -> list[tuple[int, int]]:
+    """Links among the lines of many tasks of at most `most` lines each, all tasks at once. task: 0, 1, ... of each line, ascending."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    ends = np.cumsum([len(b) for b in bodies])
+    h, line = shingle_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
+    # One sort by task, 40 bits of the shingle, and line: holders of a shingle stand side by side.
+    key = task[line].astype(np.uint64) << U64(52) | (h >> U64(24)) << U64(12) | line.astype(np.uint64)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    who, shingle = (key & U64(4095)).astype(np.int64), key >> U64(12)
+    size = np.bincount(who, minlength=len(bodies))
+    found: dict[int, int] = {}
+    for d in range(1, most):
+        same = np.flatnonzero(shingle[:-d] == shingle[d:])
+        if not len(same):
+            break
+        pair, n = np.unique(who[same] << 12 | who[same + d], return_counts=True)
+        for p, k in zip(pair.tolist(), n.tolist()):
+            found[p] = found.get(p, 0) + k
+    out = []
+    for p, k in found.items():
+        i, j = p >> 12, p & 4095
+        over = k - SIMILAR * (size[i] + size[j] - k)
+        # Close calls are settled on the bytes themselves, as 40 bits may collide.
+        if over > 4 or (over > -4 and _exact(bodies[i], bodies[j])):
+            out.append((i, j))
+    return out
 
-    def done():
-        order = sorted(range(len(who)), key=lambda i: who[i])
-        once = [i for n, i in enumerate(order) if not n or who[order[n - 1]] != who[i]]
-        found = list(linked([bodies[i] for i in once]))
-        return pa.RecordBatch.from_arrays([pa.array([who[once[x]] for x, _ in found], pa.int64()), pa.array([who[once[y]] for _, y in found], pa.int64())], names=["a", "b"])
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, line, body) sorted by task: links (a, b), for each batch of tasks a spanning forest."""
+    held: list[tuple[list[int], list[bytes]]] = []
+    size = 0
+    most = 8
+
+    def flush():
+        lines = sorted({x for who, _ in held for x in who})
+        place = {x: i for i, x in enumerate(lines)}
+        forest = c.Forest(len(lines))
+        small = [(who, bodies) for who, bodies in held if len(who) <= most]
+        links = []
+        if small:
+            flat = [x for who, _ in small for x in who]
+            task = np.repeat(np.arange(len(small)), [len(who) for who, _ in small])
+            links += [(flat[i], flat[j]) for i, j in _small_tasks(task, [b for _, bs in small for b in bs], most)]
+        for who, bodies in held:
+            if len(who) > most:
+                links += [(who[i], who[j]) for i, j in linked(bodies)]
+        kept = [(x, y) for x, y in links if forest.join(place[x], place[y])]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["a", "b"])
+
+    task, who, bodies = None, [], []
     for batch in batches:
         for t, w, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if t != task:
                 if len(who) > 1:
-                    yield done()
+                    held.append((who, bodies))
+                    size += len(who)
+                    if size >= 2000:
+                        yield flush()
+                        held, size = [], 0
                 task, who, bodies = t, [], []
             who.append(w)
             bodies.append(body)
     if len(who) > 1:
-        yield done()
+        held.append((who, bodies))
+    if held:
+        yield flush()
 
 
 def line_links(docs: DataFrame) -> DataFrame:
@@ -309,7 +419,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     n = c.n_buckets(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     sets = texts.mapInArrow(_band_blocks(n), "bucket int, keys binary, lines binary").repartition(n // 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_sets, "set bigint, members binary")
-    members = c.cut(sets.groupBy("set").agg(F.first("members").alias("members")).mapInArrow(_memberships, "line bigint, task string"))
+    members = c.cut(sets.groupBy("set").agg(F.first("members").alias("members")).mapInArrow(_memberships, "line bigint, task bigint"))
     shared = spark.sparkContext.broadcast(c.bloom(members.select("line").distinct(), BLOOM_BYTES))
     bodies = texts.mapInArrow(_active_texts(shared), "line bigint, body binary").groupBy("line").agg(F.first("body").alias("body"))
     tasks = members.join(bodies, "line").select("task", "line", "body")
