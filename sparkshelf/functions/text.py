@@ -17,6 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 WORD = r"\p{L}\p{N}_"
 WHITE = r"\s\x1C-\x1F\x85\p{Z}"
@@ -83,8 +84,7 @@ def map_letters(col) -> Column:
     return F.translate(c_(col), source + HAMZA + TATWEEL, target)
 
 
-@F.pandas_udf("string")
-def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _compose(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
@@ -96,7 +96,8 @@ _MAY_COMPOSE = r"[\p{M}\x{0340}-\x{037E}\x{0387}\x{0958}-\x{0FFF}\x{1160}-\x{11F
 def nfc(col) -> Column:
     """Canonical composition; only texts that may change visit Python."""
     col = c_(col)
-    return F.coalesce(_nfc(F.when(col.rlike(_MAY_COMPOSE), col)), col)
+    compose = F.pandas_udf(_compose, st.StringType())
+    return F.coalesce(compose(F.when(col.rlike(_MAY_COMPOSE), col)), col)
 
 
 @lru_cache
@@ -107,15 +108,34 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return single, {a: b for a, b in pairs.items() if len(b) > 1}
 
 
-def casefold(col) -> Column:
-    """Unicode case folding: lower(), with the folds that differ patched in where a text has such a character."""
+def _ranges(chars, gap: int) -> str:
+    """A character class of few ranges (long lists of single characters match slowly); ranges closer than `gap` are joined."""
+    runs: list[list[int]] = []
+    for x in sorted(map(ord, chars)):
+        if runs and x - runs[-1][1] <= gap:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def casefold(col, probe: Column | None = None) -> Column:
+    """Unicode case folding: lower(), with the folds that differ patched in where a text has such a character.
+
+    `probe`: the text to look for these characters in, where col is costly to compute twice; what it may compose to counts.
+    Folds to several characters are lower(upper(x)) but for the few of `odd_ones`."""
     col = c_(col)
     single, several = _folds()
-    odd = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in [*single, *several]) + "]"
-    patched = F.translate(col, "".join(single), "".join(single.values()))
-    for a, b in several.items():
-        patched = F.replace(patched, F.lit(a), F.lit(b))
-    return F.when(col.rlike(odd), F.lower(patched)).otherwise(F.lower(col))
+    odd_ones = {a: b for a, b in several.items() if a.upper().lower() != b}
+    x = F.translate(col, "".join(single), "".join(single.values()))
+    for a, b in odd_ones.items():
+        x = F.replace(x, F.lit(a), F.lit(b))
+    many = _ranges([c for c in several if c not in odd_ones], 1)
+    pieces = F.transform(F.split(x, f"(?={many})|(?<={many})"), lambda p: F.when(p.rlike(f"^{many}$"), F.upper(p)).otherwise(p))
+    # What lower() turns away from its fold: final sigma, and letters that fold to upper case.
+    back = {"ς": "σ"} | {b.lower(): b for b in single.values() if b.lower() != b}
+    odd = (col if probe is None else probe).rlike(_ranges([*single, *several], 8) if probe is None else f"{_ranges([*single, *several], 8)}|{_MAY_COMPOSE}")
+    return F.translate(F.lower(F.when(odd, F.array_join(pieces, "")).otherwise(col)), "".join(back), "".join(back.values()))
 
 
 def keep_class(keep: str) -> str:
@@ -132,14 +152,14 @@ def normalize(col, how: Normalizer = Normalizer()) -> Column:
     col = F.coalesce(c_(col), F.lit(""))
     if how.legacy:
         return normalize_legacy(col, how)
-    col = nfc(col)
+    raw, col = col, nfc(col)
     if how.map_chars:
         col = map_letters(col)
     col = F.regexp_replace(col, DIACRITICS, "")
     col = delete(col, TATWEEL + ZERO_WIDTH)
     if how.remove_punct:
         col = drop_punctuation(col, how.keep_punct)
-    col = casefold(col)
+    col = casefold(col, raw)
     if how.map_digits:
         col = map_digits(col)
     return collapse(col)
@@ -231,11 +251,15 @@ def ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def fuzzy_ratio(a, b) -> Column:
+    """`ratio` of two columns, in Arrow batches."""
+    return F.pandas_udf(_ratios, st.DoubleType())(c_(a), c_(b))
+
+
 # Numbers
 
 
@@ -311,9 +335,8 @@ def stem(words: Column, stemmer) -> Column:
     if stemmer is None:
         raise ImportError("stemming needs a stemmer: pass a callable from text to text")
 
-    @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda xs: None if xs is None else [stemmer(x) for x in xs])
 
-    return run(words)
+    return F.pandas_udf(run, st.ArrayType(st.StringType()))(words)

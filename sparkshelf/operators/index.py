@@ -83,7 +83,8 @@ def bm25_scores(queries: DataFrame, products: DataFrame, preset: BM25 = INDEX, q
     post = postings(products, preset, text) if post is None else post
     n, avgdl = corpus_stats(products, preset, text).first()
     q = query_tokens(queries, preset, query_text)
-    wanted = post.join(q.select("token").distinct(), "token", "left_semi")
+    # Postings of query tokens only, used twice: for document frequencies and for scores.
+    wanted = post.join(q.select("token").distinct(), "token", "left_semi").persist()
     weighted = wanted.join(document_frequency(wanted), "token")
     length = F.lit(1 - preset.b) + preset.b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)
     part = preset.idf_of(F.lit(float(n)), F.col("df")) * F.col("tf") * (preset.k1 + 1) / (F.col("tf") + preset.k1 * length + preset.eps)

@@ -27,9 +27,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products_norm(spark: SparkSession, sf_dir: str, how: C.Preparation = C.Preparation()) -> DataFrame:
-    """products with the normalised columns that indexes and features need."""
+    """products with the normalised columns that indexes and features need, kept in memory and on disk as several scans follow."""
     p = products(spark, sf_dir)
-    return p.withColumns({"text_norm": how.norm("text"), "title_norm": how.norm("title"), "brand_norm": how.norm("brand"), "attributes_norm": how.norm("attributes"), "attributes_list": C.A.split_attributes("attributes")})
+    return p.withColumns({"text_norm": how.norm("text"), "title_norm": how.norm("title"), "brand_norm": how.norm("brand"), "attributes_norm": how.norm("attributes"), "attributes_list": C.A.split_attributes("attributes")}).persist()
 
 
 def queries(spark: SparkSession, sf_dir: str, how: C.Preparation = C.Preparation()) -> DataFrame:
