@@ -42,7 +42,8 @@ def align(preds: DataFrame, sample: DataFrame) -> DataFrame:
 
     def settle(state, row):
         # The strictest strategy with candidates, and those candidates.
-        found = [F.filter("preds", lambda x, k=k: x[k] == row[k]) for k in keys[:-1]] + [F.col("preds")]
+        by = lambda k: F.filter("preds", lambda x: x[k] == row[k])
+        found = [by(k) for k in keys[:-1]] + [F.col("preds")]
         which = F.when(F.size(found[0]) > 0, F.lit(0))
         for i in range(1, len(found)):
             which = which.when(F.size(found[i]) > 0, F.lit(i))
@@ -84,12 +85,12 @@ def coverage(preds: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def missing_context(preds: DataFrame, sample: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
-    """(missing_query, at, side, ord, query): sample rows around each missing query's first place, and predictions at -5..+4 of it."""
+    """(missing_query, place, side, ord, query): sample rows around each missing query's first place, and predictions at -5..+4 of it."""
     missing, _ = coverage(preds, sample)
-    first = missing.groupBy("query").agg(F.min("ord").alias("at")).withColumnRenamed("query", "missing_query")
-    near = lambda lo, hi: first.select("missing_query", "at", F.explode(F.sequence(F.col("at") - lo, F.col("at") + hi)).alias("ord"))
+    first = missing.groupBy("query").agg(F.min("ord").alias("place")).withColumnRenamed("query", "missing_query")
+    near = lambda lo, hi: first.select("missing_query", "place", F.explode(F.sequence(F.col("place") - lo, F.col("place") + hi)).alias("ord"))
     out = near(before, after).join(sample.select("ord", "query"), "ord").withColumn("side", F.lit("sample"))
-    return out.unionByName(near(5, 4).join(preds.select("ord", "query"), "ord").withColumn("side", F.lit("pred"))).select("missing_query", "at", "side", "ord", "query")
+    return out.unionByName(near(5, 4).join(preds.select("ord", "query"), "ord").withColumn("side", F.lit("pred"))).select("missing_query", "place", "side", "ord", "query")
 
 
 def fuzzy_suggestions(missing: DataFrame, candidates: DataFrame, k: int = 5, cutoff: float = 0.6) -> DataFrame:

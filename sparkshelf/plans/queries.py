@@ -681,7 +681,7 @@ def m4_classifier(spark, sf):
     return M.predict_and_rank(model, x, ["bm25", "len"])
 
 
-@query(f"with {_LABELED} select query_id, p_id, round(bm25, 6) as bm25 from lab")
+@query(f"with {_LABELED} select query_id, p_id, round(round(bm25, 9), 6) as bm25 from lab")
 def m5_normalize_features(spark, sf):
     x = _labeled(spark, sf).withColumn("bm25", F.col("bm25").cast("string"))
     return M.normalize_features(x, ["bm25"]).select("query_id", "p_id", F.round("bm25", 6).alias("bm25"))
@@ -754,8 +754,8 @@ def q_d_coverage(spark, sf):
     return missing.select(F.lit("missing").alias("side"), "ord", "query").unionByName(extra.select(F.lit("extra").alias("side"), "ord", "query"))
 
 
-@query(f"""with {_PREDS}, {_SAMPLE}, f as (select query as missing_query, min(ord) as at from sample where query not in (select query from preds) group by 1)
-select missing_query, at, 'sample' as side, s.ord, s.query from f join sample s on s.ord between at - 3 and at + 3 union all select missing_query, at, 'pred', p.ord, p.query from f join preds p on p.ord between at - 5 and at + 4""")
+@query(f"""with {_PREDS}, {_SAMPLE}, f as (select query as missing_query, min(ord) as place from sample where query not in (select query from preds) group by 1)
+select missing_query, place, 'sample' as side, s.ord, s.query from f join sample s on s.ord between place - 3 and place + 3 union all select missing_query, place, 'pred', p.ord, p.query from f join preds p on p.ord between place - 5 and place + 4""")
 def q_e_context(spark, sf):
     return Q.missing_context(_preds(spark, sf), _sample(spark, sf))
 
