@@ -146,7 +146,9 @@ def _search_blocks(k: int):
         def answer(qid: np.ndarray, q: np.ndarray):
             nonlocal units
             if units is None:
-                units = (np.concatenate(ids), unit(np.concatenate(rows)))
+                # Curves that meet in a block may bring a row twice.
+                once, first = np.unique(np.concatenate(ids), return_index=True)
+                units = (once, unit(np.concatenate(rows)[first]))
             cid, x = units
             a, b, s = [], [], []
             for lo in range(0, len(qid), 256):

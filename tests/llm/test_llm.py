@@ -131,9 +131,9 @@ def test_lm_scores(spark, texts, limit):
     got = sorted(map(tuple, got), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert all(math.isclose(a[5], b[5], rel_tol=1e-9) for a, b in zip(got, want))
-    # The filter's false positives may raise a few counts.
-    assert sum(math.isclose(a[6], b[6], rel_tol=1e-9) for a, b in zip(got, want)) > 0.8 * len(want)
-    assert all(abs(a[6] - b[6]) < 0.02 * abs(b[6]) + 1e-9 for a, b in zip(got, want))
+    # The filter never misses a level; its false positives, about 1 in 100 probes, raise a few counts.
+    off = [(a[0], a[2], a[6], b[6]) for a, b in zip(got, want) if not b[6] - 1e-6 <= a[6] <= b[6] + 0.08 * abs(b[6]) + 1e-6]
+    assert not off
 
 
 def test_lm_empty(spark):
