@@ -40,7 +40,7 @@ THRESHOLD = 0.7
 SAMPLE = 24_000
 LEAST_DOCS = 3
 FACTORS, EPOCHS, BATCH = 4, 12, 64
-RATE, L1, L2 = 0.15, 2e-5, 1e-4
+RATE, L1, L2 = 0.15, 1e-3, 1e-4
 INTERACTING = 4096
 MOST_TERMS = 400_000
 SEED = 11
