@@ -210,7 +210,7 @@ def bloom(hashes: DataFrame, most_bytes: int) -> np.ndarray:
     hashes = cut(hashes)
     size = int(min(most_bytes * 8, max(1 << 16, hashes.count() * 16))) // 8 * 8
     out = np.zeros(size, bool)
-    for row in hashes.mapInArrow(_bloom_parts(size), "at binary").toLocalIterator():  # a part at a time: 4 bytes a bit set, bounded by the filter
+    for row in hashes.coalesce(16).mapInArrow(_bloom_parts(size), "at binary").toLocalIterator():  # a part at a time: 4 bytes a bit set, bounded by the filter
         out[np.frombuffer(row["at"], np.uint32)] = True
     return np.packbits(out, bitorder="little")
 

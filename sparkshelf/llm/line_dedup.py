@@ -401,7 +401,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(who) > 1:
                     held.append((who, bodies))
                     size += len(who)
-                    if size >= 2000:
+                    if size >= 300:
                         yield flush()
                         held, size = [], 0
                 task, who, bodies = t, [], []
@@ -429,7 +429,7 @@ def line_links(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, number) of every line to remove, once."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    places = c.cut(rows.mapInArrow(_places, f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, number int").distinct())
+    places = c.cut(rows.mapInArrow(_places, f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, number int"))
     # One row for each distinct line: its first place and how many it has.
     first = places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.count("*").alias("n"))
     member = c.components(line_links(docs))
@@ -437,20 +437,15 @@ def removals(docs: DataFrame) -> DataFrame:
     groups = keyed.groupBy("root").agg(F.min("at").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     # Lines of which some place goes: few, beside those that occur once.
     repeated = keyed.join(groups, "root").select("line", "kept")
-    return places.join(repeated, "line").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("number") == F.col("kept.number")))).select("doc_id", "number")
-
-
-def _line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offs in c.slices(batches, "text"):
-        total = np.bincount(np.searchsorted(offs, np.flatnonzero(data == 10), side="right") - 1, minlength=rows.num_rows) + (np.diff(offs) > 0)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(total.astype(np.int64))], names=["doc_id", "n_lines"])
+    return places.join(repeated, "line").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("number") == F.col("kept.number")))).select("doc_id", "number").distinct()
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed and the removed lines' numbers, comma-joined in order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = removals(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.count("*").alias("n_removed"), F.array_join(F.array_sort(F.collect_list("number")), ",").alias("removed_lines"))
-    rows = docs.mapInArrow(_line_counts, "doc_id bigint, n_lines bigint")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select("doc_id", F.coalesce(breaks + (F.octet_length("text") > 0).cast("int"), F.lit(0)).cast("bigint").alias("n_lines"))
     out = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]), "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
