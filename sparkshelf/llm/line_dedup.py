@@ -354,17 +354,18 @@ def _small_tasks(task: np.ndarray, bodies: list[bytes], most: int) -> list[tuple
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     who, shingle = (key & U64(4095)).astype(np.int64), key >> U64(12)
     size = np.bincount(who, minlength=len(bodies))
-    found: dict[int, int] = {}
+    # Lines of a task are neighbours, so a pair is its first line and a step below `most`.
+    shared = np.zeros(len(bodies) * most, np.int64)
+    same = np.arange(len(shingle))
     for d in range(1, most):
-        same = np.flatnonzero(shingle[:-d] == shingle[d:])
+        same = same[: np.searchsorted(same, len(shingle) - d)]
+        same = same[shingle[same] == shingle[same + d]]
         if not len(same):
             break
-        pair, n = np.unique(who[same] << 12 | who[same + d], return_counts=True)
-        for p, k in zip(pair.tolist(), n.tolist()):
-            found[p] = found.get(p, 0) + k
+        shared += np.bincount(who[same] * most + who[same + d] - who[same], minlength=len(shared))
     out = []
-    for p, k in found.items():
-        i, j = p >> 12, p & 4095
+    for p in np.flatnonzero(shared).tolist():
+        i, j, k = p // most, p // most + p % most, int(shared[p])
         over = k - SIMILAR * (size[i] + size[j] - k)
         # Close calls are settled on the bytes themselves, as 40 bits may collide.
         if over > 4 or (over > -4 and _exact(bodies[i], bodies[j])):
