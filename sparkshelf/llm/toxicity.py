@@ -37,7 +37,7 @@ from . import _common as c
 from ._common import U64
 
 THRESHOLD = 0.7
-SAMPLE = 24_000
+SAMPLE = 12_000
 LEAST_DOCS = 3
 FACTORS, EPOCHS, BATCH = 4, 12, 64
 RATE, L1, L2 = 0.15, 1e-3, 1e-4
@@ -189,9 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) ->
     model.active[np.argsort(-chi, kind="stable")[:INTERACTING]] = True
     model.active &= chi > 10.8  # p < 0.001
     shared = docs.sparkSession.sparkContext.broadcast(model.vocab)
-    rows = seen.mapInArrow(_index_batches(shared), "doc_id bigint, toxic int, at binary").orderBy("doc_id", "toxic", "at").collect()
-    at = [np.frombuffer(r["at"], np.int32) for r in rows]
-    y = np.array([r["toxic"] for r in rows], np.float64)
+    rows = seen.mapInArrow(_index_batches(shared), "doc_id bigint, toxic int, at binary").orderBy("doc_id", "toxic", "at").toLocalIterator()
+    at, y = [], []
+    for r in rows:
+        at.append(np.frombuffer(r["at"], np.int32))
+        y.append(r["toxic"])
+    y = np.array(y, np.float64)
     model.fit(np.concatenate(at), np.repeat(np.arange(len(at)), [len(x) for x in at]), y)
     return model
 
