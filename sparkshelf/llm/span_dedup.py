@@ -3,8 +3,15 @@
 A sentence ends with a word that ends in `.`, `!` or `?`, or before a newline. Every
 run of several consecutive sentences is hashed (word by word, so white space between
 words doesn't matter): runs of three of at least 8 words, runs of two of at least
-20, and single sentences of 40 words or more, which are passages of their own. A
-span that occurs at several places is repeated; its first place is that of the
+20, and single sentences of 40 words or more, which are passages of their own.
+Where three sentences are too short, the run grows, forwards from each sentence and
+backwards, until it has 8 words. A passage cut inside of sentences may hold none of
+these: windows of `WINDOW` words whose whole sentences no run covers are hashed as
+well, and stand for those sentences. So of a repeated passage of `WINDOW` words or
+more every sentence that lies in it as a whole belongs to a repeated span; one
+without a whole sentence has nothing that could be removed.
+
+A span that occurs at several places is repeated; its first place is that of the
 smallest (doc_id, sentence). Sentences covered by any non-first place of a repeated
 span are removed, with the white space after them.
 
@@ -37,17 +44,21 @@ from ._common import U64
 
 #: Sentences of a run and the words it needs.
 RUNS = {3: 8, 2: 20, 1: 40}
+#: Words of a passage that loses its whole sentences wherever it is cut.
+WINDOW = 51
 BLOOM_BYTES = 16 << 20
+#: Tells the hash of a window from that of a run.
+_MARK = U64(0x2545F4914F6CDD1D)
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
-def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, words, start byte) of every sentence, in order."""
+def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, words, start byte) of every sentence, in order, and the words' hashes."""
     h, starts, ends, rows = c.words_of(data, offs, lower=False)
     if not len(h):
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
+        return h, z, z, z, h
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     new = np.ones(len(h), bool)
     new[1:] = (rows[1:] != rows[:-1]) | _STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
@@ -55,11 +66,11 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     vals = h * c._power_table(len(h), "pow")
     sums = np.add.reduceat(vals, at) * c._power_table(len(h), "inv")[at]
     words = np.diff(np.append(at, len(h)))
-    return c.mix(sums + words.astype(np.uint64)), rows[at], words, starts[at]
+    return c.mix(sums + words.astype(np.uint64)), rows[at], words, starts[at], h
 
 
 def runs(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, index of the first sentence, hash) of the spans of each length."""
+    """(n, index of the first sentence, hash) of the runs of each length."""
     total = np.concatenate([[0], np.cumsum(words)])
     for n, least in RUNS.items():
         m = len(h) - n + 1
@@ -67,6 +78,44 @@ def runs(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> Iterator[tuple[in
             continue
         at = np.flatnonzero((row[:m] == row[n - 1 :]) & (total[n:] - total[:-n] >= least))
         yield n, at, c.combine(h, n)[at]
+    # Longer runs: the shortest of enough words that begins, or ends, with each sentence. A sentence has a word at least.
+    most, least = max(RUNS), RUNS[max(RUNS)]
+    edge = np.arange(len(total))
+    stop, begin = np.searchsorted(total, total + least), np.searchsorted(total, total - least, side="right") - 1
+    size_from, size_to = np.where(stop < len(total), stop - edge, 0), np.where(begin >= 0, edge - begin, 0)
+    for n in range(most + 1, least + 1):
+        at = np.union1d(np.flatnonzero(size_from == n), np.flatnonzero(size_to == n) - n)
+        at = at[row[at] == row[at + n - 1]]
+        if len(at):
+            yield n, at, c.combine(h, n)[at]
+
+
+def windows(word: np.ndarray, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, index of the first whole sentence, hash) of the windows of WINDOW words with n whole sentences that no run covers."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    m = len(word) - WINDOW + 1
+    if m <= 0:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(0, np.uint64)
+    of = np.append(np.repeat(np.arange(len(words)), words), len(words))
+    # Sentences from the first that begins at word p or later to the last that ends before p + WINDOW.
+    first = of[:m] + (total[of[:m]] < np.arange(m))
+    n = of[WINDOW:] - first
+    at = np.flatnonzero((n > 0) & (row[of[:m]] == row[of[WINDOW - 1 : -1]]))
+    first, n = first[at], n[at]
+    least = np.array([0, *(RUNS[k] for k in sorted(RUNS))])[np.minimum(n, max(RUNS))]
+    bare = total[first + n] - total[first] < least
+    at, first, n = at[bare], first[bare], n[bare]
+    sums = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(word * c._power_table(len(word), "pow"), out=sums[1:])
+    return n, first, c.mix((sums[at + WINDOW] - sums[at]) * c._power_table(len(word), "inv")[at] + _MARK)
+
+
+def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, index of the first sentence, hash) of all spans."""
+    for n, at, span in runs(h, row, words):
+        yield np.full(len(at), n), at, span
+    yield windows(word, row, words)
 
 
 def _span_batches(shared=None):
@@ -74,13 +123,13 @@ def _span_batches(shared=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in c.slices(batches, "text"):
-            h, row, words, _ = sentences(data, offs)
+            h, row, words, _, word = sentences(data, offs)
             begin = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            for n, at, span in runs(h, row, words):
+            for n, at, span in spans(h, row, words, word):
                 if shared is not None:
                     keep = c.may_hold(shared.value, span)
-                    at, span = at[keep], span[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(c.signed(span)), rows.column(0).take(pa.array(row[at])), pa.array((at - begin[row[at]]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32))], names=["h", "doc_id", "at", "n"])
+                    n, at, span = n[keep], at[keep], span[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c.signed(span)), rows.column(0).take(pa.array(row[at])), pa.array((at - begin[row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "doc_id", "at", "n"])
 
     return run
 
@@ -104,7 +153,7 @@ def _cut_batches(text_at: int, removed_at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in c.slices(batches, "whole"):
-            h, row, words, starts = sentences(data, offs)
+            _, row, words, starts, _ = sentences(data, offs)
             n = rows.num_rows
             begin = np.searchsorted(row, np.arange(n + 1))
             raw = data.tobytes()

@@ -261,6 +261,40 @@ def test_span_dedup_edges(spark):
     assert got == [(1, rows[0][1]), (2, "Other end here."), (2, "Other end here.")]
 
 
+def planted_passages(seed=17):
+    """(rows, want): passages of over 50 words, each in two documents amid text of their own, and for the second one the
+    sentences that lie in the passage as a whole. Sentences are of 1 to 60 words; both ends are cut anywhere."""
+    r = random.Random(seed)
+    fresh = lambda k: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(k)]
+    rows, want = [], {}
+    for k, sizes in enumerate([[1] * 80, [2] * 40, [1, 2] * 30, [6, 1, 1, 1] * 10, [12, 39, 12], [14, 24, 15], [20, 5, 6, 22], [22, 2, 3, 1, 25], [30, 1, 30], [9, 9, 9, 9, 9, 9], [60, 30], [3, 50, 3]] * 3):
+        passage, ends = [], []
+        for n in sizes:
+            passage += fresh(n)
+            passage[-1] += r.choice([".", "!!", "?"])
+            ends.append(len(passage))
+        a = r.randint(0, min(sizes[0] - 1, len(passage) - 51))
+        b = min(len(passage), max(a + 51, len(passage) - r.randint(0, sizes[-1] - 1)))
+        for side in (0, 1):
+            before, after = fresh(r.randint(1, 30)), fresh(r.randint(1, 30))
+            before[-1] += "" if a else "."
+            rows.append((2 * k + side, " ".join([*before, *passage[a:b], *after]) + "."))
+        want[2 * k + 1] = [" ".join(passage[i:j]) for i, j in zip([0, *ends], ends) if a <= i and j <= b]
+    return rows, want
+
+
+def test_span_dedup_planted_passages(spark):
+    """Whatever the length of its sentences and wherever it is cut, a passage loses its whole sentences in the second document, and nothing else."""
+    rows, want = planted_passages()
+    out = {x.doc_id: x for x in span_dedup.dedup(frame(spark, rows)).collect()}
+    for i, text in rows:
+        left = text
+        for x in want.get(i, []):
+            left = left.replace(x + " ", "", 1)
+        assert out[i].text == left and out[i].n_removed == len(want.get(i, []))
+    assert sum(map(len, want.values())) > 300
+
+
 # 5
 
 
