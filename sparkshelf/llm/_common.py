@@ -182,6 +182,11 @@ def remainder(doc_id: str, mod: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def row_key():
+    """Tells rows of one id apart: a 64-bit hash of the text, a null one counting as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def free_name(base: str, taken) -> str:
     taken = {t.lower() for t in taken}
     while base.lower() in taken:

@@ -185,15 +185,19 @@ def _match_batches(shared):
 
 def matches(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): for each document row and item the best matching window."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id bigint, similarity double, first_word bigint, n_words bigint"
+    return _matches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), benchmark, broadcast_bytes)
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """matches() for rows (doc_id, text), whose doc_id may be of any type."""
+    ddl = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id bigint, similarity double, first_word bigint, n_words bigint"
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     size = items.agg((F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) * 16 + F.count("*") * ITEM_BYTES).alias("b")).first()[0]
     parts = max(1, -(-int(size) // broadcast_bytes))
     out = None
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast(Index(sorted(map(tuple, mine.collect()), key=repr)))
+        shared = rows.sparkSession.sparkContext.broadcast(Index(sorted(map(tuple, mine.collect()), key=repr)))
         found = rows.mapInArrow(_match_batches(shared), ddl)
         out = found if out is None else out.unionByName(found)
     return out
@@ -205,10 +209,13 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs, all columns as they are, of which no window matches an item. Rows are matched by id, so rows of one
-    id go together; the ids found are few, and join by a semi-join that Spark plans."""
-    found = c.cut(matches(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["hit_id"]), "left_anti")
+    """Rows of docs, all columns as they are, of which no window matches an item. Rows are matched by id and text hash, as
+    rows of one id may differ; those found are few, and join by an anti-join that Spark plans."""
+    key = c.free_name("row_key", docs.columns)
+    named = docs.select(F.struct("doc_id", c.row_key().alias("key")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = c.cut(_matches(named, benchmark).select(F.col("doc_id.doc_id").alias("hit_id"), F.col("doc_id.key").alias("hit_key")).distinct())
+    rows = docs.withColumn(key, c.row_key())
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["hit_id"]) & (rows[key] == found["hit_key"]), "left_anti").drop(key)
 
 
 OP5_SQL = None

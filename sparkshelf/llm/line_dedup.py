@@ -3,7 +3,7 @@
 Lines (split at newlines) are near duplicates where the Jaccard similarity of their
 8-byte shingle sets is 0.8 or more (fewer bytes: the line itself is its shingle).
 Links are closed transitively; of each component the line of the smallest
-(doc_id, line number) stays, and the others are removed. Lines of white space only
+(doc_id, text hash, line number) stays, and the others are removed. Lines of white space only
 are neither compared nor removed.
 
 Steps.
@@ -24,9 +24,9 @@ Steps.
    two chunks whatever the set's size. A task gives a spanning forest of its links.
 6. `components` joins the forests (distributed union-find).
 
-Nulls: a null text is empty and has no line; a null doc_id is a document of its own
-that comes first. Repeated rows of one id count as one document: what is removed
-from one is removed from all. Empty tables give empty results; extra columns of
+Nulls: a null text is empty and has no line; a null doc_id comes first. Rows are told
+apart by doc_id and a hash of the text, so rows that share an id (or have none) are
+documents of their own; rows equal in both count as one. Empty tables give empty results; extra columns of
 any name are carried along unchanged by `drop_repeated_lines`.
 """
 
@@ -164,7 +164,7 @@ def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in c.slices(batches, "text"):
         starts, ends, row, number = lines_of(data, offs)
-        yield pa.RecordBatch.from_arrays([pa.array(c.signed(c.span_hashes(data, None, starts, ends))), rows.column(0).take(pa.array(row)), pa.array(number.astype(np.int32))], names=["line", "doc_id", "number"])
+        yield pa.RecordBatch.from_arrays([pa.array(c.signed(c.span_hashes(data, None, starts, ends))), *(x.take(pa.array(row)) for x in rows.columns[:2]), pa.array(number.astype(np.int32))], names=["line", "doc_id", "row_key", "number"])
 
 
 def _band_blocks(n_buckets: int):
@@ -428,35 +428,35 @@ def line_links(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, number) of every line to remove, once."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    places = c.cut(rows.mapInArrow(_places, f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, number int"))
+    """(doc_id, row_key, number) of every line to remove, once."""
+    rows = docs.select("doc_id", c.row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    places = c.cut(rows.mapInArrow(_places, f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, number int"))
     # One row for each distinct line: its first place and how many it has.
-    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.count("*").alias("n"))
+    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "row_key", "number")).alias("at"), F.count("*").alias("n"))
     member = c.components(line_links(docs))
     keyed = first.join(member, first["line"] == member["node"], "left").select("line", "at", "n", F.coalesce("root", "line").alias("root"))
     groups = keyed.groupBy("root").agg(F.min("at").alias("kept"), F.sum("n").alias("total")).where("total > 1")
     # Lines of which some place goes: few, beside those that occur once.
     repeated = keyed.join(groups, "root").select("line", "kept")
-    return places.join(repeated, "line").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("number") == F.col("kept.number")))).select("doc_id", "number").distinct()
+    return places.join(repeated, "line").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key")) & (F.col("number") == F.col("kept.number")))).select("doc_id", "row_key", "number").distinct()
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed and the removed lines' numbers, comma-joined in order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = removals(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.count("*").alias("n_removed"), F.array_join(F.array_sort(F.collect_list("number")), ",").alias("removed_lines"))
+    gone = removals(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.count("*").alias("n_removed"), F.array_join(F.array_sort(F.collect_list("number")), ",").alias("removed_lines"))
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = docs.select("doc_id", F.coalesce(breaks + (F.octet_length("text") > 0).cast("int"), F.lit(0)).cast("bigint").alias("n_lines"))
-    out = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    rows = docs.select("doc_id", c.row_key().alias("row_key"), F.coalesce(breaks + (F.octet_length("text") > 0).cast("int"), F.lit(0)).cast("bigint").alias("n_lines"))
+    out = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["row_key"] == gone["gone_key"]), "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, without the removed lines; a text that loses its last line with ink is empty. n_chars,
     where there is such a column, is the new length."""
-    lost, key = c.free_name("lost", docs.columns), c.free_name("lost_id", docs.columns)
-    gone = removals(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("number").alias(lost))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left")
+    lost, lost_id, lost_key = (c.free_name(n, docs.columns) for n in ("lost", "lost_id", "lost_key"))
+    gone = removals(docs).groupBy(F.col("doc_id").alias(lost_id), F.col("row_key").alias(lost_key)).agg(F.collect_set("number").alias(lost))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[lost_id]) & (c.row_key() == gone[lost_key]), "left")
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(lost), i))
     text = F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).when(F.exists(left, lambda x: x.rlike(r"[^ \t-\r]")), F.array_join(left, "\n")).otherwise(F.lit(""))
     out = joined.select(*(docs[n] for n in docs.columns if n != "text"), text.alias("text"), F.col(lost))

@@ -85,7 +85,7 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, n: int = WORDS) -> np.ndarr
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in c.slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(c.signed(fingerprints(data, offs)))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(c.signed(fingerprints(data, offs)))], names=[*rows.schema.names[:-1], "fp"])
 
 
 def masks(bits: int, radius: int) -> list[int]:
@@ -269,15 +269,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tasks.repartition(n, "task").sortWithinPartitions("task", "side").mapInArrow(_join_tasks(radius, bits), "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp bigint, component_id) for each row of docs (doc_id, text)."""
-    prints = c.cut(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"))
+def _least(rows: DataFrame, low, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (doc_id, ..., text) of which `low` tells the first: the rows with fp for text, (fp, low, root) of each
+    fingerprint, and (root, component_id), the first row of each component."""
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    prints = c.cut(rows.mapInArrow(_fingerprint_batches, f"{ddl}, fp bigint"))
     # Per fingerprint one row: exact copies take no part in the join.
-    distinct = c.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = c.cut(prints.groupBy("fp").agg(low.alias("low")))
     member = c.components(links(distinct.select("fp"), radius))
     of = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     # Whole components to their smallest id, then back to fingerprints: few rows, as most have no link.
-    least = of.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints, of, of.groupBy("root").agg(F.min("low").alias("component_id"))
+
+
+def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp bigint, component_id) for each row of docs (doc_id, text)."""
+    prints, of, least = _least(docs.select("doc_id", "text"), F.min("doc_id"), radius)
     return prints.join(of.join(least, "root").select("fp", "component_id"), "fp")
 
 
@@ -287,12 +294,14 @@ def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the near duplicates of another row: of each component the row of the smallest id stays (one of equal
-    rows of that id). Columns are those of docs."""
-    ident = c.free_name("component_id", docs.columns)
-    marked = groups(docs)
-    first = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(ident)).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first[ident]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without the near duplicates of another row: of each component one row stays, of the smallest id (a null one comes
+    last) and of that id's rows the one of the smallest text hash. Rows that share an id but not a component don't meet.
+    Columns are those of docs."""
+    key, ident, ident_key = (c.free_name(n, docs.columns) for n in ("row_key", "first_id", "first_key"))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
+    first = _least(docs.select("doc_id", c.row_key().alias("row_key"), "text"), low, RADIUS)[2].select(F.col("component_id.doc_id").alias(ident), F.col("component_id.row_key").alias(ident_key))
+    rows = docs.withColumn(key, c.row_key())
+    return rows.join(first, rows["doc_id"].eqNullSafe(first[ident]) & (rows[key] == first[ident_key]), "left_semi").dropDuplicates(["doc_id", key]).drop(key)
 
 
 OP8_SQL = None

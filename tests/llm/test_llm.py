@@ -503,6 +503,29 @@ def test_keep_first(spark):
     assert simhash_dedup.keep_first(frame(spark, [])).count() == 0
 
 
+#: Rows that share an id, or have none, and nothing else.
+SHARED = [(None, "alpha beta gamma delta epsilon zeta\nfirst line of one"), (None, "entirely other words stand in this row\nsecond line of two"), (None, "and a third text is here as well"), (5, "five has one text of its own here"), (5, "quite another text under the same number"), (6, "and a third text is here as well"), (None, "only this group has no id at all"), (None, "only this group has no id at all")]
+
+
+def test_rows_of_one_id(spark):
+    """Rows that share an id are told apart: of each group of copies one row stays, and one row's removals leave the others alone."""
+    docs = frame(spark, SHARED)
+    kept = simhash_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.text, r.doc_id) for r in kept.collect()) == sorted((t, i) for i, t in {*SHARED} - {(None, "and a third text is here as well")})
+    lines = [(None, "own start of one\nshared closing line of all"), (None, "another start of two\nwhole second line of two"), (1, "shared closing line of all")]
+    out = line_dedup.drop_repeated_lines(frame(spark, lines))
+    assert sorted(r.text for r in out.collect()) == sorted([lines[0][1], lines[1][1], ""])
+    lines = [(0, "shared closing line of all"), *((9, t) for _, t in lines[:2])]
+    out = line_dedup.drop_repeated_lines(frame(spark, lines))
+    assert sorted(r.text for r in out.collect()) == sorted(["own start of one", lines[2][1], lines[0][1]])
+    bench = spark.createDataFrame([(1, "five has one text of its own here")], "item_id bigint, text string")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted(t for _, t in SHARED if t != SHARED[3][1])
+    hit = decontaminate.drop_contaminated(frame(spark, SHARED[:3]), spark.createDataFrame([(1, SHARED[2][1])], "item_id bigint, text string"))
+    assert sorted(r.text for r in hit.collect()) == sorted(t for _, t in SHARED[:2])
+
+
 # 9
 
 
