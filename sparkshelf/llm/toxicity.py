@@ -6,9 +6,10 @@ over the distinct terms i of a text. The factors v learn which terms are toxic
 only together (an insult and a group), which additive weights can't hold. Terms
 are lower-cased words (runs of letters, digits and non-ASCII characters) and their
 4-, 5- and 6-byte beginnings, hashed to 64 bits; so an inflected form shares
-features with its stem. Interactions are learned among terms that tell the
-classes apart by more than chance (`INTERACTING`), as those of all terms would
-mostly fit noise.
+features with its stem. All terms interact. The factors of those that don't tell
+the classes apart on their own by more than chance (`STRONG`) join after `ALONE`
+epochs, learn more slowly and pay a group-lasso penalty (`LASSO`), or they would
+mostly fit noise; one whose pairs matter keeps its factors all the same.
 
 Learning. Labels come from a sample of labelled rows bounded by `SAMPLE` (the rows
 of the smallest hash of doc_id, so the choice doesn't depend on order). Executors
@@ -41,7 +42,8 @@ SAMPLE = 12_000
 LEAST_DOCS = 3
 FACTORS, EPOCHS, BATCH = 4, 12, 64
 RATE, L1, L2 = 0.15, 1e-3, 1e-4
-INTERACTING = 4096
+STRONG = 10.8  # chi-square of a term, p < 0.001
+ALONE, SLOW_RATE, LASSO = 4, 0.05, 3e-3
 MOST_TERMS = 400_000
 SEED = 11
 
@@ -102,7 +104,8 @@ class Machine:
         self.w = np.zeros(len(vocab), np.float32)
         rng = np.random.default_rng(SEED)
         self.v = (rng.standard_normal((len(vocab), factors)) * 0.01).astype(np.float32)
-        self.active = np.ones(len(vocab), bool)  # terms that interact
+        self.strong = np.ones(len(vocab), bool)  # terms whose factors pay no penalty
+        self.active = np.ones(len(vocab), bool)  # terms that interact; all of them once it is fitted
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash, -1 if it is no feature."""
@@ -121,7 +124,8 @@ class Machine:
         return out
 
     def fit(self, index: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
-        """AdaGrad on logistic loss; L1 on w (proximal), L2 on v; classes of equal total weight up to a factor of 4."""
+        """AdaGrad on logistic loss; L1 on w (proximal), L2 on v, of terms that aren't strong group lasso on v (proximal);
+        classes of equal total weight up to a factor of 4."""
         n = len(y)
         pos = max(1, int(y.sum()))
         weight = np.where(y == 1, min(4.0, max(1.0, (n - pos) / pos)), 1.0)
@@ -130,7 +134,10 @@ class Machine:
         cuts = np.searchsorted(row, np.arange(n + 1))
         gw, gv, g0 = np.full(len(self.w), 1e-2), np.full(self.v.shape, 1e-2), 1e-2
         rng = np.random.default_rng(SEED)
-        for _ in range(epochs):
+        rate_v = np.where(self.strong, RATE, SLOW_RATE)[:, None]
+        lasso = np.where(self.strong, 0.0, LASSO)[:, None]
+        for epoch in range(epochs):
+            self.active = self.strong | (epoch >= ALONE)
             order = rng.permutation(n)
             for lo in range(0, n, BATCH):
                 docs = order[lo : lo + BATCH]
@@ -152,12 +159,18 @@ class Machine:
                 if on.any():
                     ia, ra = i[on], r[on]
                     fa, ba = np.unique(ia, return_inverse=True)
-                    for f in range(self.v.shape[1]):
-                        v = self.v[:, f]
-                        s = np.bincount(ra, v[ia], len(docs))
-                        grad = np.bincount(ba, err[ra] * (s[ra] - v[ia]), len(fa)) + L2 * v[fa]
-                        gv[fa, f] += grad * grad
-                        v[fa] -= RATE * grad / np.sqrt(gv[fa, f])
+                    v = self.v[fa]
+                    grad = L2 * v.astype(np.float64)
+                    for f in range(v.shape[1]):
+                        mine = v[ba, f]
+                        s = np.bincount(ra, mine, len(docs))
+                        grad[:, f] += np.bincount(ba, err[ra] * (s[ra] - mine), len(fa))
+                    gv[fa] += grad * grad
+                    step = rate_v[fa] / np.sqrt(gv[fa])
+                    v = v - step * grad
+                    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                    self.v[fa] = v * np.maximum(1 - step.mean(axis=1, keepdims=True) * lasso[fa] / np.maximum(size, 1e-12), 0)
+        self.active = np.ones(len(self.vocab), bool)
 
 
 def _spread(n: np.ndarray, pos: np.ndarray, docs: int, toxic: int) -> np.ndarray:
@@ -185,9 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) ->
     table = table.iloc[order]
     model = Machine(table["term"].to_numpy().view(np.uint64).copy())
     chi = _spread(table["n"].to_numpy(float), table["pos"].to_numpy(float), n, toxic)
-    model.active = np.zeros(len(chi), bool)
-    model.active[np.argsort(-chi, kind="stable")[:INTERACTING]] = True
-    model.active &= chi > 10.8  # p < 0.001
+    model.strong = chi > STRONG
     shared = docs.sparkSession.sparkContext.broadcast(model.vocab)
     rows = seen.mapInArrow(_index_batches(shared), "doc_id bigint, toxic int, at binary").orderBy("doc_id", "toxic", "at").toLocalIterator()
     at, y = [], []

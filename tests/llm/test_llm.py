@@ -199,6 +199,24 @@ def test_toxicity_learns_interaction(spark):
     assert sum((got[i] >= 0.7) == bool(y) for i, y in held) > 0.97 * len(held)
 
 
+def test_toxicity_learns_pairs_of_neutral_terms(spark):
+    """Exactly one of two words makes a text toxic: each alone is equally frequent in both classes."""
+    r = random.Random(2)
+    filler = ["".join(r.choice("qwertyu") for _ in range(6)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = i % 2, i // 2 % 2
+        w = [r.choice(filler) for _ in range(12)] + ["zzinsult"] * a + ["xxgroup"] * b
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(a != b)))
+    docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, lab, toxicity.learn_rows())
+    got = {x.doc_id: x.s for x in toxicity.score(docs.select("doc_id", "text"), model, ["doc_id"]).withColumnRenamed("score", "s").collect()}
+    held = [(i, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((got[i] >= 0.7) == bool(y) for i, y in held) > 0.97 * len(held)
+
+
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 0, None), (None, 0, 1), (99, 0, 1)], "doc_id bigint, quality int, toxic int")
     docs = frame(spark, EDGES)
