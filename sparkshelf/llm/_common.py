@@ -159,10 +159,16 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; it is set here only where the session has none, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine (as in tests) may do
+    without; it gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex[:8]}"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex[:8]}")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -172,11 +178,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written as Parquet to a new folder in the shared one and read again, and that folder (for `remove`)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def n_buckets(spark: SparkSession, times: int = 2) -> int:
     """Buckets of a hash-partitioned exchange: they follow spark.sql.shuffle.partitions, which follows the input."""
     return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def deal(df: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
+    """df with each of the buckets 0..buckets-1 in a partition of its own."""
+    return df.repartitionById(buckets, F.col(column).cast("int"))
+
+
 def remainder(doc_id: str, mod: int):
     """crc32 of the id as text, modulo `mod`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod
@@ -205,7 +229,10 @@ def _bloom_parts(size: int):
         for batch in batches:
             for at in _bloom_bits(batch.column(0).to_numpy().view(np.uint64), size):
                 bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(bits).astype(np.uint32).tobytes()], pa.binary())], names=["at"])
+        # Places of few bits, else the bits themselves: never more than the filter.
+        few = int(bits.sum()) < size // 32
+        body = np.flatnonzero(bits).astype(np.uint32) if few else np.packbits(bits, bitorder="little")
+        yield pa.RecordBatch.from_arrays([pa.array([few]), pa.array([body.tobytes()], pa.binary())], names=["few", "body"])
 
     return run
 
@@ -214,10 +241,14 @@ def bloom(hashes: DataFrame, most_bytes: int) -> np.ndarray:
     """Bloom filter (bytes) of a column of 64-bit hashes: 16 bits each, `most_bytes` at most. Fuller filters pass more, but never miss."""
     hashes = cut(hashes)
     size = int(min(most_bytes * 8, max(1 << 16, hashes.count() * 16))) // 8 * 8
-    out = np.zeros(size, bool)
-    for row in hashes.coalesce(16).mapInArrow(_bloom_parts(size), "at binary").toLocalIterator():  # a part at a time: 4 bytes a bit set, bounded by the filter
-        out[np.frombuffer(row["at"], np.uint32)] = True
-    return np.packbits(out, bitorder="little")
+    out = np.zeros(size // 8, np.uint8)
+    for row in hashes.coalesce(16).mapInArrow(_bloom_parts(size), "few boolean, body binary").toLocalIterator():  # a part at a time
+        if row["few"]:
+            at = np.frombuffer(row["body"], np.uint32)
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        else:
+            out |= np.frombuffer(row["body"], np.uint8)
+    return out
 
 
 def may_hold(filter_bytes: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -275,24 +306,126 @@ def _stars(large: bool):
     return run
 
 
+#: A node with a share of the links above 1 / HUBS is a hub; so there are 2 * HUBS at most.
+HUBS = 200
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (null, links, two sums of their hashes), and (node, its links here, its least neighbour here) of nodes with more
+    than 1 / (2 * HUBS) of this partition's links. A hub is among them in some partition."""
+    links, high, low, at, n = 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        links += len(u)
+        h = mix(u.view(np.uint64) * _MULT + v.view(np.uint64))
+        high, low = high + int((h >> U64(32)).sum()), low + int((h & U64(0xFFFFFFFF)).sum())
+        # A batch's nodes that can't reach the share in it are left out; the error is less than that share.
+        node, count = np.unique(np.concatenate([u, v]), return_counts=True)
+        heavy = count > max(4, len(u) // (4 * HUBS))
+        if heavy.any():
+            at, back = np.unique(np.concatenate([at, node[heavy]]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n, count[heavy]])).astype(np.int64)
+    heavy = n > max(8, links // (4 * HUBS))
+    none = [0] * int(heavy.sum())
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([None, *at[heavy].tolist()], [links, *n[heavy].tolist()], [high, *none], [low, *none])], names=["node", "n", "high", "low"])
+
+
+def _hub_minima(hubs: np.ndarray):
+    """(node, least neighbour in this partition) of each hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(hubs), np.iinfo(np.int64).max)
+        for batch in batches:
+            for a, b in ((0, 1), (1, 0)):
+                u, v = batch.column(a).to_numpy(), batch.column(b).to_numpy()
+                at = np.minimum(np.searchsorted(hubs, u), len(hubs) - 1)
+                mine = hubs[at] == u
+                np.minimum.at(least, at[mine], v[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(least)], names=["node", "low"])
+
+    return run
+
+
+def _both_ways(hubs: np.ndarray):
+    """(u, v) and (v, u) of every link, without those whose first is a hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.concatenate([batch.column(a).to_numpy(), batch.column(b).to_numpy()]) for a, b in ((0, 1), (1, 0)))
+            keep = ~np.isin(u, hubs)
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
+
+    return run
+
+
+def _hub_stars(hubs: np.ndarray, least: np.ndarray):
+    """The large star of every hub, in place: its least neighbour is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (np.concatenate([batch.column(a).to_numpy(), batch.column(b).to_numpy()]) for a, b in ((0, 1), (1, 0)))
+            at = np.minimum(np.searchsorted(hubs, u), len(hubs) - 1)
+            keep = (hubs[at] == u) & (v > u)
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(least[at[keep]])], names=["u", "v"])
+
+    return run
+
+
+def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small stars within a batch (all v < u): of a node's links one, to the least, goes on; what they connect stays connected."""
+    for batch in batches:
+        u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(u):
+            continue
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        begin = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        low = np.repeat(v[begin], np.diff(np.append(begin, len(u))))
+        rest = v != low
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[begin], v[rest]])), pa.array(np.concatenate([v[begin], low[rest]]))], names=["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of an edge table: the root is the smallest node its component holds.
 
     Distributed union-find by alternating large-star and small-star rounds: a round
     is two exchanges by node, streamed through in order, and the number of rounds
     grows with the logarithm of the component size. Neither links nor components
-    leave the executors; each round is cut with checkpoint().
+    leave the executors; each round is written to the shared folder and replaces the
+    one before.
+
+    A hub (a node with a large share of all links, as the root of a large component
+    is) isn't sent to one task: there are 2 * HUBS of them at most, their least
+    neighbours are found by partial minima, and their links are changed where they
+    lie. Small stars start within batches, so a node's links are few once dealt.
     """
-    digest = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    n = max(2, n_buckets(edges.sparkSession) // 2)
+    spark = edges.sparkSession
+    n = max(2, n_buckets(spark) // 2)
     by_node = lambda x: x.repartition(n, "u").sortWithinPartitions("u", "v")
-    pairs = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
-    before = digest(pairs)
+    ddl = "u bigint, v bigint"
+
+    def digest(x: DataFrame) -> tuple[tuple, np.ndarray]:
+        """(what tells tables of links apart, hubs)"""
+        parts = x.mapInArrow(_digest, "node bigint, n bigint, high bigint, low bigint")
+        sums = parts.groupBy("node").agg(F.sum("n").alias("n"), *(F.sum(F.col(k).cast("decimal(38,0)")).alias(k) for k in ("high", "low")))
+        # All links, and at most 4 * HUBS nodes that hold more than 1 / (4 * HUBS) of them each.
+        rows = sums.orderBy(F.col("node").isNotNull(), F.col("n").desc(), "node").limit(1 + 4 * HUBS).collect()
+        links, high, low = (rows[0][k] for k in ("n", "high", "low")) if rows else (0, 0, 0)
+        hubs = [r["node"] for r in rows if r["node"] is not None and r["n"] > max(512, links // (2 * HUBS))]
+        return (links, high, low), np.array(sorted(hubs), np.int64)
+
+    pairs, path = table(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")))
+    before, hubs = digest(pairs)
     for _ in range(most_rounds if before[0] else 0):
-        both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        large = by_node(both).mapInArrow(_stars(True), "u bigint, v bigint")
-        pairs = cut(by_node(large).mapInArrow(_stars(False), "u bigint, v bigint"))
-        after = digest(pairs)
+        large = by_node(pairs.mapInArrow(_both_ways(hubs), ddl)).mapInArrow(_stars(True), ddl)
+        if len(hubs):
+            low = {r["node"]: r["low"] for r in pairs.mapInArrow(_hub_minima(hubs), "node bigint, low bigint").groupBy("node").agg(F.min("low").alias("low")).collect()}
+            least = np.minimum(hubs, np.array([low[h] for h in hubs.tolist()], np.int64))
+            large = large.unionByName(pairs.mapInArrow(_hub_stars(hubs, least), ddl))
+        old = path
+        pairs, path = table(by_node(large.mapInArrow(_near_stars, ddl)).mapInArrow(_stars(False), ddl))
+        remove(spark, old)
+        after, hubs = digest(pairs)
         if before == after:
             break
         before = after
