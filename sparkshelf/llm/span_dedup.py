@@ -12,22 +12,25 @@ more every sentence that lies in it as a whole belongs to a repeated span; one
 without a whole sentence has nothing that could be removed.
 
 A span that occurs at several places is repeated; its first place is that of the
-smallest (doc_id, sentence). Sentences covered by any non-first place of a repeated
-span are removed, with the white space after them.
+smallest (doc_id, text hash, sentence). Sentences covered by any non-first place of
+a repeated span are removed, with the white space after them.
 
 A sentence is never lost with its last copy: the place that makes it go is smaller,
 and the smallest place has none before it.
 
-Scale. Spans meet by hash in one aggregation with map-side minima, of which only
-repeated hashes remain. A Bloom filter of these, of at most `BLOOM_BYTES`, keeps the
-places of other spans on the map side (it never misses one), and the rest join by
-hash: a passage that a third of all documents hold is a skewed join key, which
-Spark splits. What a document loses is a list of its own sentences, no longer than
-the document.
-
-Nulls: a null text is empty and has no sentence; a null doc_id counts as one
-document that comes first. Repeated rows of an id count as one document. Empty
-tables give empty results; other columns don't matter.
+Scale. Which spans are repeated is told by their hashes alone: those of some
+`FLUSH` spans leave the map side as sorted binary blocks, each hash twice at most,
+dealt by hash. A Bloom filter of the repeated ones, of at most `BLOOM_BYTES`, keeps
+the places of other spans on the map side (it never misses one). The rest get their
+first place by partial minima, and join it by hash: a passage that a third of all
+documents hold is a skewed join key, which Spark splits. What a document loses is a
+set of its own spans, no longer than a few times the document.
+
+Nulls: a null text is empty and has no sentence; a null doc_id comes first. Rows are
+told apart by doc_id and a hash of the text, so rows that share an id (or have none)
+are documents of their own; rows equal in both count as one. Very long texts are one
+document each; sentences of any length. Empty tables give empty results; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +51,10 @@ RUNS = {3: 8, 2: 20, 1: 40}
 #: Words of a passage that loses its whole sentences wherever it is cut.
 WINDOW = 51
 BLOOM_BYTES = 16 << 20
+#: Spans in hand before their hashes are sorted and leave.
+FLUSH = 2_000_000
+#: Sentences of a span take so many bits of a place; no span has more than a window's words.
+_SIZE_BITS = 6
 #: Tells the hash of a window from that of a run.
 _MARK = U64(0x2545F4914F6CDD1D)
 _STOP = np.zeros(256, bool)
@@ -118,72 +126,113 @@ def spans(h: np.ndarray, row: np.ndarray, words: np.ndarray, word: np.ndarray) -
     yield windows(word, row, words)
 
 
-def _span_batches(shared=None):
-    """(h, doc_id, at, n) of every span; with a Bloom filter, of those that it may hold."""
+def _hash_blocks(buckets: int):
+    """(bucket, hashes): the hashes of spans, sorted, each once, or twice if it is repeated among those in hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in c.slices(batches, "text"):
+        held, size = [], 0
+
+        def flush():
+            h = np.sort(np.concatenate(held))
+            h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]
+            b = (h >> U64(32)) * U64(buckets) >> U64(32)
+            cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32)), pa.array([h[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(h)))], pa.binary())], names=["bucket", "hashes"])
+
+        for _, data, offs in c.slices(batches, "text"):
             h, row, words, _, word = sentences(data, offs)
-            begin = np.searchsorted(row, np.arange(rows.num_rows + 1))
-            for n, at, span in spans(h, row, words, word):
-                if shared is not None:
-                    keep = c.may_hold(shared.value, span)
-                    n, at, span = n[keep], at[keep], span[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(c.signed(span)), rows.column(0).take(pa.array(row[at])), pa.array((at - begin[row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "doc_id", "at", "n"])
+            for _, _, span in spans(h, row, words, word):
+                if len(span):
+                    held.append(span)
+                    size += len(span)
+            if size >= FLUSH:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed array<int>): for each document that loses sentences, their numbers in order."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ddl = f"h bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, n int"
-    place = F.struct("doc_id", "at")
-    spans = rows.mapInArrow(_span_batches(), ddl).groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = c.cut(spans.where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first"))
-    shared = docs.sparkSession.sparkContext.broadcast(c.bloom(repeated.select("h"), BLOOM_BYTES))
-    places = rows.mapInArrow(_span_batches(shared), ddl)
-    later = places.join(repeated, "h").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
-    gone = later.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("s"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("removed"))
-
-
-def _cut_batches(text_at: int, removed_at: int):
-    """Adds n_sentences, n_removed, removed_words and what is left of the text."""
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes that occur twice or more, of the blocks of one bucket a partition."""
+    blocks = [x for batch in batches for x in batch.column(1).to_pylist()]
+    h = np.sort(np.frombuffer(b"".join(blocks), np.uint64))
+    del blocks
+    again = h[1:][h[1:] == h[:-1]]
+    again = again[np.concatenate([np.ones(min(1, len(again)), bool), again[1:] != again[:-1]])]
+    yield pa.RecordBatch.from_arrays([pa.array(c.signed(again))], names=["h"])
+
+
+def _place_batches(shared):
+    """(h, doc_id, row_key, at, n) of every span that the Bloom filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in c.slices(batches, "whole"):
-            _, row, words, starts, _ = sentences(data, offs)
-            n = rows.num_rows
-            begin = np.searchsorted(row, np.arange(n + 1))
-            raw = data.tobytes()
-            left, gone_words, gone = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, lost in enumerate(rows.column(removed_at).to_pylist()):
-                lo, hi = int(offs[i]), int(offs[i + 1])
-                if not lost:
-                    left.append(raw[lo:hi])
-                    continue
-                mine = np.asarray(lost) + begin[i]
-                edge = np.append(starts[begin[i] : begin[i + 1]], hi)
-                keep, at = [], lo
-                for s in lost:
-                    keep.append(raw[at : edge[s]])
-                    at = int(edge[s + 1])
-                keep.append(raw[at:hi])
-                left.append(b"".join(keep))
-                gone[i], gone_words[i] = len(lost), words[mine].sum()
-            counts = np.diff(begin).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns) if k not in (text_at, removed_at)), pa.array(counts), pa.array(gone), pa.array(gone_words), pa.array(left, pa.binary()).cast(pa.string())], names=[*(x for k, x in enumerate(rows.schema.names) if k not in (text_at, removed_at)), "n_sentences", "n_removed", "removed_words", "text"])
+        for rows, data, offs in c.slices(batches, "text"):
+            h, row, words, _, word = sentences(data, offs)
+            begin = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            for n, at, span in spans(h, row, words, word):
+                keep = c.may_hold(shared.value, span)
+                n, at, span = n[keep], at[keep], span[keep]
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([pa.array(c.signed(span)), rows.column(0).take(of), rows.column(1).take(of), pa.array(at - begin[row[at]]), pa.array(n.astype(np.int64))], names=["h", "doc_id", "row_key", "at", "n"])
 
     return run
 
 
+def removals(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, lost array<bigint>): for each document that loses sentences, the spans lost: first sentence and, in
+    the low bits, the number of sentences."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", c.row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    buckets = c.n_buckets(spark)
+    repeated = c.deal(rows.select("text").mapInArrow(_hash_blocks(buckets), "bucket int, hashes binary"), buckets).mapInArrow(_repeated, "h bigint")
+    shared = spark.sparkContext.broadcast(c.bloom(repeated, BLOOM_BYTES))
+    places = c.cut(rows.mapInArrow(_place_batches(shared), f"h bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, at bigint, n bigint"))
+    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "row_key", "at")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "first")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key")) & (F.col("at") == F.col("first.at"))
+    later = places.join(first, "h").where(~same)
+    return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.shiftleft("at", _SIZE_BITS) + F.col("n")).alias("lost"))
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, whole, lost) to doc_id, n_sentences, n_removed, removed_words and what is left of the text."""
+    for rows, data, offs in c.slices(batches, "whole"):
+        _, row, words, starts, _ = sentences(data, offs)
+        n = rows.num_rows
+        begin = np.searchsorted(row, np.arange(n + 1))
+        raw = data.tobytes()
+        left, gone_words, gone = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lost = rows.column(2)
+        places, each = lost.flatten().to_numpy(), pc.fill_null(pc.list_value_length(lost), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(each)])
+        for i in range(n):
+            lo, hi = int(offs[i]), int(offs[i + 1])
+            if not each[i]:
+                left.append(raw[lo:hi])
+                continue
+            mine = places[upto[i] : upto[i + 1]]
+            size = int(begin[i + 1] - begin[i])
+            depth = np.zeros(size + 1, np.int64)
+            at = mine >> _SIZE_BITS
+            np.add.at(depth, at, 1)
+            np.add.at(depth, at + (mine & ((1 << _SIZE_BITS) - 1)), -1)
+            cut = np.cumsum(depth[:-1]) > 0
+            edge = np.append(starts[begin[i] : begin[i + 1]], hi)
+            # Runs of sentences that stay, after the white space before the first sentence.
+            stays = np.flatnonzero(np.diff(np.concatenate([[0], ~cut, [0]]).astype(np.int8)))
+            parts = [raw[lo : int(edge[0])], *(raw[int(edge[x]) : int(edge[y])] for x, y in stays.reshape(-1, 2).tolist())]
+            left.append(b"".join(parts))
+            gone[i], gone_words[i] = cut.sum(), words[begin[i] : begin[i + 1]][cut].sum()
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(begin).astype(np.int64)), pa.array(gone), pa.array(gone_words), pa.array(left, pa.binary()).cast(pa.string())], names=["doc_id", "n_sentences", "n_removed", "removed_words", "text"])
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, removed_words, text) for each row of docs: text is what is left."""
-    gone = removals(docs).select(F.col("doc_id").alias("gone_id"), "removed")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]), "left").select("doc_id", "whole", "removed")
-    return joined.mapInArrow(_cut_batches(1, 2), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_sentences bigint, n_removed bigint, removed_words bigint, text string")
+    gone = removals(docs).select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"), "lost")
+    rows = docs.select("doc_id", c.row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("whole"))
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["row_key"] == gone["gone_key"]), "left").select("doc_id", "whole", "lost")
+    return joined.mapInArrow(_cut_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_sentences bigint, n_removed bigint, removed_words bigint, text string")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

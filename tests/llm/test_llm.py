@@ -85,10 +85,25 @@ def test_components(spark):
     assert c.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_bloom_never_misses(spark):
-    h = [int(x) for x in np.random.default_rng(1).integers(-(2**62), 2**62, 5000)]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_with_hubs(spark, seed):
+    """Stars round a least, a middle and a greatest node, joined by chains: hubs are changed in place, with the same result."""
+    r = random.Random(seed)
+    edges = [(10, k) for k in range(1000, 2500)] + [(5000, k) for k in range(4000, 7000) if k != 5000] + [(20000, k) for k in range(12000, 14000)]
+    edges += [(2499, 30000), (30000, 30001), (30001, 5), (6999, 40000), (40000, 12000)] + [(r.randrange(50000, 52000), r.randrange(50000, 52000)) for _ in range(900)]
+    r.shuffle(edges)
+    want = union(edges, {x for e in edges for x in e})
+    got = {x.node: x.root for x in c.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    assert got == {n: k for n, k in want.items() if n in got} and set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
+@pytest.mark.parametrize("size", [0, 3, 5000])
+def test_bloom_never_misses(spark, size):
+    h = [int(x) for x in np.random.default_rng(1).integers(-(2**62), 2**62, size)]
     b = c.bloom(spark.createDataFrame([(x,) for x in h], "h bigint"), 1 << 12)
-    assert c.may_hold(b, np.array(h).view(np.uint64)).all()
+    assert c.may_hold(b, np.array(h, np.int64).view(np.uint64)).all()
+    if size == 3:
+        assert not c.may_hold(b, np.arange(1000, dtype=np.uint64)).any()
 
 
 # 1
@@ -239,37 +254,65 @@ def sentences(t):
     return out
 
 
-def spans_brute(rows):
-    split = {i: sentences(t) for i, t in rows}
+def spans_brute(rows, signed_key):
+    """(id, text): (sentences, lost, what is left); rows equal in both are one, others of one id are apart."""
+    keyed = {(i is not None, i, signed_key[t or ""], t or "") for i, t in rows}
+    split = {k: sentences(k[3]) for k in keyed}
     places = collections.defaultdict(set)
-    for i, s in split.items():
+    for k, s in split.items():
         for n, least in span_dedup.RUNS.items():
             for a in range(len(s) - n + 1):
                 run = tuple(tuple(m.group() for m in x) for x in s[a : a + n])
                 if sum(map(len, run)) >= least:
-                    places[n, run].add((i, a))
+                    places[n, run].add((k, a))
     lost = collections.defaultdict(set)
     for (n, _), at in places.items():
-        for i, a in sorted(at)[1:]:
-            lost[i].update(range(a, a + n))
+        for k, a in sorted(at, key=lambda x: (x[0][0], x[0][1] or 0, x[0][2], x[1]))[1:]:
+            lost[k].update(range(a, a + n))
     out = {}
-    for i, t in rows:
-        t = t or ""
-        edge, at, left = [x[0].start() for x in split[i]] + [len(t)], 0, ""
-        for k in sorted(lost[i]):
-            left += t[at : edge[k]]
-            at = edge[k + 1]
-        out[i] = (len(split[i]), len(lost[i]), left + t[at:])
+    for k, s in split.items():
+        t = k[3]
+        edge, at, left = [x[0].start() for x in s] + [len(t)], 0, ""
+        for x in sorted(lost[k]):
+            left += t[at : edge[x]]
+            at = edge[x + 1]
+        out[k[1], t] = (len(s), len(lost[k]), left + t[at:])
     return out
 
 
+def text_keys(spark, rows):
+    """The hash by which rows of one id are told apart."""
+    return {r.text: r.k for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", c.row_key().alias("k")).collect()}
+
+
 def test_span_dedup(spark, texts):
-    want = spans_brute(texts)
+    want = spans_brute(texts, text_keys(spark, texts))
     got = span_dedup.dedup(frame(spark, texts)).collect()
-    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in got} == want
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in got} == {i: x for (i, _), x in want.items()}
     assert sum(n for _, n, _ in want.values()) > 50
 
 
+def test_span_dedup_rows_of_one_id(spark, texts):
+    """Rows that share an id, or have none, are documents of their own."""
+    rows = [(None if i % 5 == 0 else i % 11, t) for i, t in texts] + [(None, None), (3, "Hi there."), (3, "")]
+    want = spans_brute(rows, text_keys(spark, rows))
+    got = span_dedup.dedup(frame(spark, rows)).select("doc_id", "n_sentences", "n_removed", "text").collect()
+    assert sorted((r.n_sentences, r.n_removed, r.text, str(r.doc_id)) for r in got) == sorted((*want[i, t or ""], str(i)) for i, t in rows)
+    passage = "Alpha beta gamma delta. Epsilon zeta eta theta iota. Kappa lambda mu nu xi omicron."
+    for i in (5, None):
+        rows = [(i, "Start here now. " + passage), (i, "Hi there."), (1, passage)]
+        out = {r.text for r in span_dedup.dedup(frame(spark, rows)).collect()}
+        assert "Hi there." in out and (passage in out) == (i is not None)
+
+
+def test_span_dedup_many_equal_rows(spark):
+    """Equal rows are one place, however many they are; a smaller id with the passage makes each of them lose it."""
+    passage = "Alpha beta gamma delta. Epsilon zeta eta theta iota. Kappa lambda mu nu xi omicron."
+    rows = [(7, passage)] * 400
+    assert {r.text for r in span_dedup.dedup(frame(spark, rows)).collect()} == {passage}
+    assert {(r.doc_id, r.text) for r in span_dedup.dedup(frame(spark, [*rows, (2, passage)])).collect()} == {(2, passage), (7, "")}
+
+
 def test_span_dedup_edges(spark):
     assert span_dedup.dedup(frame(spark, EDGES)).count() == len(EDGES)
     assert span_dedup.dedup(frame(spark, [])).count() == 0
