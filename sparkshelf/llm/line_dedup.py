@@ -13,20 +13,23 @@ Steps.
    least value of each bin is kept, and an empty bin borrows from the next full one.
    Bin k of all five functions is band k, so 0.8-similar lines of some hundred
    shingles share a band with probability 1 - (1 - 0.8^5)^18 = 0.9992. Lines of 64
-   shingles or more sign the half of them that has an even hash (`band_hashes`).
-3. Bands meet in hash-partitioned binary blocks (12 bytes an entry). Only sets of
+   different shingles or more sign the half of them that has an even hash
+   (`band_hashes`); README has the recall measured by line length.
+3. Bands meet in hash-partitioned binary blocks (13 bytes an entry). Only sets of
    two lines or more go on; equal member sets of several bands go on once.
 4. The texts of those lines, and of no others, meet their sets. A Bloom filter of at
    most `BLOOM_BYTES` keeps the other texts on the map side; it may pass too many,
    never too few, so its bound costs shuffle, not results.
 5. Members of a set are compared exactly, unless they are linked already. A set of
-   more than `CHUNK` members is dealt out as pairs of chunks, so that a task holds
-   two chunks whatever the set's size. A task gives a spanning forest of its links.
+   more than `CHUNK` members or `CHUNK_BYTES` of text is dealt out as pairs of chunks,
+   so that a task holds two chunks (or two lines, if these are longer) whatever the
+   set's size. A task gives a spanning forest of its links.
 6. `components` joins the forests (distributed union-find).
 
 Nulls: a null text is empty and has no line; a null doc_id comes first. Rows are told
 apart by doc_id and a hash of the text, so rows that share an id (or have none) are
-documents of their own; rows equal in both count as one. Empty tables give empty results; extra columns of
+documents of their own; rows equal in both count as one. A line of any length is one
+line, signed and compared as a whole. Empty tables give empty results; extra columns of
 any name are carried along unchanged by `drop_repeated_lines`.
 """
 
@@ -44,11 +47,13 @@ from ._common import U64
 
 SHINGLE, SIMILAR = 8, 0.8
 HASHES, BINS = 5, 18
-#: Lines of so many shingles sign half of them.
+#: Lines of so many different shingles sign half of them.
 FEW = 64
 #: Bytes of text in hand while signing: small enough for the cache of a core.
 SLICE = 1 << 17
-CHUNK = 2048
+CHUNK, CHUNK_BYTES = 2048, 4 << 20
+#: Text in hand while comparing.
+VERIFY_BYTES = 1 << 20
 BLOOM_BYTES = 16 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -127,16 +132,35 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _monotonous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
+    """Whether each line may have fewer than `least` different shingles: whether its first ones fill fewer of 1,024 cells. A
+    line that has fewer fills fewer for certain."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    size = np.minimum(ends - starts - SHINGLE + 1, 192)
+    line = np.repeat(np.arange(len(starts)), size)
+    at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    # Four of a shingle's bytes tell enough of them apart.
+    x = data[at].astype(np.uint32) * np.uint32(7919)
+    for k, m in ((3, 104729), (5, 1299709), (7, 15485863)):
+        x += data[at + k] * np.uint32(m)
+    seen = np.zeros((len(starts), 1024), bool)
+    seen[line, x >> np.uint32(13) & np.uint32(1023)] = True
+    return np.count_nonzero(seen, axis=1) < least
+
+
 def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, (n, BINS) band hashes) of lines, those near `FEW` shingles twice.
+    """(line, (n, BINS) band hashes) of lines, those near `FEW` different shingles twice.
 
-    Lines of FEW shingles or more sign those of even hash, half of them, which are the same in both lines of a pair;
-    shorter lines sign all. Two lines of similarity 0.8 differ in size by a factor of 0.8 at most, so lines around FEW
-    sign both ways, and every pair meets in one of the two."""
+    Lines of FEW different shingles or more sign those of even hash, half of them, which are the same in both lines of a
+    pair; others sign all. Two lines of similarity 0.8 differ in this number by a factor of 0.8 at most, so lines around
+    FEW sign both ways, and every pair meets in one of the two. (Signing both ways otherwise costs time only.)"""
     size = np.maximum(ends - starts - SHINGLE + 1, 1)
     out = []
     many = np.flatnonzero(size >= SIMILAR * FEW)
-    few = np.flatnonzero(size < FEW / SIMILAR)
+    short = size < FEW / SIMILAR
+    short[many] |= _monotonous(data, starts[many], ends[many], FEW / SIMILAR)
+    few = np.flatnonzero(short)
     if len(many):
         n = len(data) - SHINGLE + 1
         two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << U64(8)
@@ -154,7 +178,9 @@ def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         number = np.repeat(name, np.diff(edge, prepend=0))
         at = np.flatnonzero((number >= 0) & (x.astype(np.uint8) & np.uint8(1) == 0))
         sig = signatures(x[at], number[at], len(many))
-        out.append((many, sig))
+        # A line without a shingle of even hash has few shingles, and signs all of them.
+        filled = np.bincount(number[at], minlength=len(many)) > 0
+        out.append((many[filled], sig[filled]))
     if len(few):
         h, line = shingle_hashes(data, starts[few], ends[few])
         out.append((few, c.mix(signatures(h, line, len(few)) + U64(1))))
@@ -168,25 +194,26 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_blocks(n_buckets: int):
-    """(bucket, keys, lines): entries of several slices, dealt by band hash, as binary."""
+    """(bucket, keys, lines, sizes): entries of several slices, dealt by band hash, as binary. A size is the number of bits of a
+    line's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
         size = 0
 
         def flush():
-            lines, sig = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            lines, long, sig = (np.concatenate(x) for x in zip(*held))
             key = (sig + np.arange(BINS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)).ravel()
             key = c.mix(key)
-            who = np.repeat(lines, BINS)
+            who, long = np.repeat(lines, BINS), np.repeat(long, BINS)
             b = (key >> U64(32)) % U64(n_buckets)
             order = np.argsort(b.astype(np.uint16) if n_buckets < 65536 else b, kind="stable")
-            b, key, who = b[order].astype(np.int64), key[order].astype(np.uint32), who[order]
+            b, key, who, long = b[order].astype(np.int64), key[order].astype(np.uint32), who[order], long[order]
             cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             ends = np.append(cuts[1:], len(b))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([who[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["bucket", "keys", "lines"])
+            return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([who[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([long[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["bucket", "keys", "lines", "sizes"])
 
         for _, data, offs in c.slices(batches, "text", SLICE):
             starts, ends, _, _ = lines_of(data, offs)
@@ -199,7 +226,7 @@ def _band_blocks(n_buckets: int):
             if not new:
                 continue
             line, sig = band_hashes(data, starts[new], ends[new])
-            held.append((lines[new][line], sig))
+            held.append((lines[new][line], np.ceil(np.log2((ends - starts)[new][line] + 1)).astype(np.uint8), sig))
             size += len(line)
             if size >= 60_000:
                 yield flush()
@@ -211,45 +238,62 @@ def _band_blocks(n_buckets: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: (set, members) of every band value that two lines or more share, equal sets of the partition once."""
+    """Rows sorted by bucket: (set, members, sizes) of every band value that two lines or more share, equal sets of the
+    partition once."""
     seen: set[int] = set()
 
-    def done(keys: list[bytes], lines: list[bytes]):
-        k, who = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(lines), np.uint64)
+    def done(keys: list[bytes], lines: list[bytes], sizes: list[bytes]):
+        k, who, long = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(lines), np.uint64), np.frombuffer(b"".join(sizes), np.uint8)
         order = np.lexsort((who, k))
-        k, who = k[order], who[order]
+        k, who, long = k[order], who[order], long[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (who[1:] != who[:-1])
-        k, who = k[new], who[new]
+        k, who, long = k[new], who[new], long[new]
         cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.append(cuts, len(k)))
         many = np.flatnonzero(size > 1)
         if not len(many):
             return None
         name = c.mix(np.add.reduceat(c.mix(who), cuts) + size.astype(np.uint64))[many]
-        names, members = [], []
+        names, members, widths = [], [], []
         for s, lo, n in zip(name.tolist(), cuts[many].tolist(), size[many].tolist()):
             if s not in seen:
                 seen.add(s)
                 names.append(s)
                 members.append(who[lo : lo + n].tobytes())
+                widths.append(long[lo : lo + n].tobytes())
         if not names:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(c.signed(np.array(names, np.uint64))), pa.array(members, pa.binary())], names=["set", "members"])
+        return pa.RecordBatch.from_arrays([pa.array(c.signed(np.array(names, np.uint64))), pa.array(members, pa.binary()), pa.array(widths, pa.binary())], names=["set", "members", "sizes"])
 
-    bucket, keys, lines = None, [], []
+    bucket, held = None, ([], [], [])
     for batch in batches:
-        for b, k, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for b, *entries in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if b != bucket:
-                if keys and (got := done(keys, lines)):
+                if held[0] and (got := done(*held)):
                     yield got
-                bucket, keys, lines = b, [], []
-            keys.append(k)
-            lines.append(x)
-    if keys and (got := done(keys, lines)):
+                bucket, held = b, ([], [], [])
+            for to, x in zip(held, entries):
+                to.append(x)
+    if held[0] and (got := done(*held)):
         yield got
 
 
+def _chunks(long: np.ndarray) -> np.ndarray:
+    """The chunk of each member of a set, from 0: at most CHUNK members, and CHUNK_BYTES of text or one line."""
+    most = 2.0**long
+    if len(long) <= CHUNK and most.sum() <= CHUNK_BYTES:
+        return np.zeros(len(long), np.int64)
+    upto = np.cumsum(most)
+    out, lo, k = np.empty(len(long), np.int64), 0, 0
+    while lo < len(long):
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK_BYTES, side="right"))
+        hi = min(max(hi, lo + 1), lo + CHUNK)
+        out[lo:hi] = k
+        lo, k = hi, k + 1
+    return out
+
+
 def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, task) of each member: one task for a set, or for each pair of chunks of a large one."""
     lines, tasks, size = [], [], 0
@@ -258,12 +302,14 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lines)), pa.array(np.concatenate(tasks))], names=["line", "task"])
 
     for batch in batches:
-        for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for name, members, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
             who = np.frombuffer(members, np.int64)
-            parts = -(-len(who) // CHUNK)
+            chunk = _chunks(np.frombuffer(sizes, np.uint8))
+            parts = int(chunk[-1]) + 1
+            edge = np.searchsorted(chunk, np.arange(parts + 1))
             for a in range(parts):
                 for b in range(a + 1, parts) if parts > 1 else [0]:
-                    mine = np.concatenate([who[k * CHUNK : (k + 1) * CHUNK] for k in sorted({a, b})])
+                    mine = np.concatenate([who[edge[k] : edge[k + 1]] for k in sorted({a, b})])
                     pair = np.array([name, a << 32 | b]).view(np.uint64)
                     lines.append(mine)
                     tasks.append(np.full(len(mine), c.signed(c.mix(pair[:1] + c.mix(pair[1:])))[0]))
@@ -337,9 +383,16 @@ def linked(bodies: list[bytes], similar: float = SIMILAR) -> Iterator[tuple[int,
             return
 
 
+def _shingle_set(t: bytes) -> np.ndarray:
+    """The different shingles of a line of SHINGLE bytes or more, as integers."""
+    return np.unique(np.lib.stride_tricks.sliding_window_view(np.frombuffer(t, np.uint8), SHINGLE).copy().view(np.uint64)[:, 0])
+
+
 def _exact(a: bytes, b: bytes) -> bool:
-    x, y = ({t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} or {t} for t in (a, b))
-    both = len(x & y)
+    if min(len(a), len(b)) < SHINGLE:
+        return a == b
+    x, y = _shingle_set(a), _shingle_set(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
     return both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
 
 
@@ -376,7 +429,7 @@ def _small_tasks(task: np.ndarray, bodies: list[bytes], most: int) -> list[tuple
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (task, line, body) sorted by task: links (a, b), for each batch of tasks a spanning forest."""
     held: list[tuple[list[int], list[bytes]]] = []
-    size = 0
+    size = weight = 0
     most = 8
 
     def flush():
@@ -402,9 +455,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(who) > 1:
                     held.append((who, bodies))
                     size += len(who)
-                    if size >= 300:
+                    weight += sum(map(len, bodies))
+                    if size >= 300 or weight >= VERIFY_BYTES:
                         yield flush()
-                        held, size = [], 0
+                        held, size, weight = [], 0, 0
                 task, who, bodies = t, [], []
             who.append(w)
             bodies.append(body)
@@ -419,8 +473,9 @@ def line_links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = c.n_buckets(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    sets = texts.mapInArrow(_band_blocks(n), "bucket int, keys binary, lines binary").repartition(n // 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_sets, "set bigint, members binary")
-    members = c.cut(sets.groupBy("set").agg(F.first("members").alias("members")).mapInArrow(_memberships, "line bigint, task bigint"))
+    blocks = texts.mapInArrow(_band_blocks(n), "bucket int, keys binary, lines binary, sizes binary")
+    sets = c.deal(blocks, n).sortWithinPartitions("bucket").mapInArrow(_sets, "set bigint, members binary, sizes binary")
+    members = c.cut(sets.groupBy("set").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes")).mapInArrow(_memberships, "line bigint, task bigint"))
     shared = spark.sparkContext.broadcast(c.bloom(members.select("line").distinct(), BLOOM_BYTES))
     bodies = texts.mapInArrow(_active_texts(shared), "line bigint, body binary").groupBy("line").agg(F.first("body").alias("body"))
     tasks = members.join(bodies, "line").select("task", "line", "body")
@@ -457,9 +512,13 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     lost, lost_id, lost_key = (c.free_name(n, docs.columns) for n in ("lost", "lost_id", "lost_key"))
     gone = removals(docs).groupBy(F.col("doc_id").alias(lost_id), F.col("row_key").alias(lost_key)).agg(F.collect_set("number").alias(lost))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[lost_id]) & (c.row_key() == gone[lost_key]), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(lost), i))
+    # Lines as a column of their own, as the text is split once; numbers that stay by one hash set, whatever their number.
+    lines, left = (c.free_name(n, [*joined.columns, lost]) for n in ("lines", "left"))
+    joined = joined.select(*(docs[n] for n in docs.columns), F.col(lost), F.when(F.col(lost).isNotNull(), F.split("text", "\n")).alias(lines))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    joined = joined.select(*docs.columns, lost, F.when(F.col(lost).isNotNull(), F.transform(stay, lambda i: F.get(F.col(lines), i))).alias(left))
     text = F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).when(F.exists(left, lambda x: x.rlike(r"[^ \t-\r]")), F.array_join(left, "\n")).otherwise(F.lit(""))
-    out = joined.select(*(docs[n] for n in docs.columns if n != "text"), text.alias("text"), F.col(lost))
+    out = joined.select(*(n for n in docs.columns if n != "text"), text.alias("text"), F.col(lost))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

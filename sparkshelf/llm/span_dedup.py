@@ -22,9 +22,10 @@ Scale. Which spans are repeated is told by their hashes alone: those of some
 `FLUSH` spans leave the map side as sorted binary blocks, each hash twice at most,
 dealt by hash. A Bloom filter of the repeated ones, of at most `BLOOM_BYTES`, keeps
 the places of other spans on the map side (it never misses one). The rest get their
-first place by partial minima, and join it by hash: a passage that a third of all
-documents hold is a skewed join key, which Spark splits. What a document loses is a
-set of its own spans, no longer than a few times the document.
+first place by partial minima, and join it by hash; those of very many places, of
+which there are `HOT` at most, are broadcast instead, as a passage that a third of
+all documents hold would be one task. What a document loses is a set of its own
+spans, no longer than a few times the document.
 
 Nulls: a null text is empty and has no sentence; a null doc_id comes first. Rows are
 told apart by doc_id and a hash of the text, so rows that share an id (or have none)
@@ -51,6 +52,8 @@ RUNS = {3: 8, 2: 20, 1: 40}
 #: Words of a passage that loses its whole sentences wherever it is cut.
 WINDOW = 51
 BLOOM_BYTES = 16 << 20
+#: A span with more than 1 / HOT of all places of repeated spans isn't dealt by hash.
+HOT = 1000
 #: Spans in hand before their hashes are sorted and leave.
 FLUSH = 2_000_000
 #: Sentences of a span take so many bits of a place; no span has more than a window's words.
@@ -189,9 +192,13 @@ def removals(docs: DataFrame) -> DataFrame:
     repeated = c.deal(rows.select("text").mapInArrow(_hash_blocks(buckets), "bucket int, hashes binary"), buckets).mapInArrow(_repeated, "h bigint")
     shared = spark.sparkContext.broadcast(c.bloom(repeated, BLOOM_BYTES))
     places = c.cut(rows.mapInArrow(_place_batches(shared), f"h bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, at bigint, n bigint"))
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "row_key", "at")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "first")
+    first = c.cut(places.groupBy("h").agg(F.min(F.struct("doc_id", "row_key", "at")).alias("first"), F.count("*").alias("times")).where("times > 1"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key")) & (F.col("at") == F.col("first.at"))
-    later = places.join(first, "h").where(~same)
+    # Spans with a large share of all places, HOT at most, meet their places where these lie; the others are dealt by hash.
+    total = first.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = F.broadcast(first.where(F.col("times") * HOT > total))
+    rest = first.where(F.col("times") * HOT <= total)
+    later = places.join(hot, "h").unionByName(places.join(hot.select("h"), "h", "left_anti").join(rest, "h")).where(~same)
     return later.groupBy("doc_id", "row_key").agg(F.collect_set(F.shiftleft("at", _SIZE_BITS) + F.col("n")).alias("lost"))
 
 

@@ -17,7 +17,10 @@ order of frequency; by Zipf's law p(rank) is taken as proportional to 1 / (rank
 Every byte is a piece, so every text has a segmentation.
 
 Scale. Map-only: the vocabulary (bounded by its file) is broadcast, the trie is that
-of one slice of text.
+of one slice of text. A pre-token of more than `LONG` bytes shares hardly anything
+but would be a level of the trie for each byte; the same recurrence runs along it
+alone, over the places where pieces match (`forward_alone`), in time proportional to
+its length.
 
 A null or empty text has no token and score 0. Repeated rows are each counted. An
 empty table gives an empty result; other columns don't matter.
@@ -37,6 +40,7 @@ from . import bpe
 from ._common import U64
 
 SLICE = 6 << 20
+LONG = 1024
 _STEP = 0xD1342543DE82EF95
 
 
@@ -55,6 +59,8 @@ class Pieces:
         for n, pairs in sorted(by.items()):
             pairs.sort()
             self.tables[n] = (np.array([h for h, _ in pairs], np.uint64), np.array([s for _, s in pairs]))
+        #: By length, which low bits of a hash some piece has: most places hold no piece of a length.
+        self.maybe = {n: np.bincount((h & U64(0xFFFF)).astype(np.int64), minlength=1 << 16) > 0 for n, (h, _) in self.tables.items()}
         self.power = [pow(_STEP, n, 2**64) for n in range(max(by) + 1)]
         self.longest = max(by)
 
@@ -98,6 +104,53 @@ def forward(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
     return tokens, score, n_nodes
 
 
+def _matches(data: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, length, log p) of every occurrence of a piece, by end, then by length."""
+    m = len(data)
+    # Hash of data[i:i+n] from those of lengths doubled and added: h(x + y) = h(x) * STEP^len(y) + h(y).
+    codes = c._BYTE[data]
+    at, size, logs = [], [], []
+    h, have = codes.copy(), 1
+    for n in sorted(pieces.tables):
+        if n > m:
+            break
+        while have < n:
+            h = h[:-1] * U64(_STEP) + codes[have:]
+            have += 1
+        hashes, table = pieces.tables[n]
+        near = np.flatnonzero(pieces.maybe[n][h & U64(0xFFFF)])
+        where = np.minimum(np.searchsorted(hashes, h[near]), len(hashes) - 1)
+        hit = hashes[where] == h[near]
+        at.append(near[hit] + n)
+        size.append(np.full(int(hit.sum()), n))
+        logs.append(table[where[hit]])
+    at, size, logs = np.concatenate(at), np.concatenate(size), np.concatenate(logs)
+    order = np.lexsort((size, at))
+    return at[order], size[order], logs[order]
+
+
+def forward_alone(data: np.ndarray, pieces: Pieces, block: int = 1 << 16) -> tuple[int, float]:
+    """(tokens, score) of one pre-token, by the recurrence of `forward` along its bytes; matches are found a block at a time."""
+    best, count = [0.0] * (len(data) + 1), [0] * (len(data) + 1)
+    for lo in range(0, len(data), block):
+        # Occurrences that end in (lo, lo + block]: they begin at most `longest` before.
+        first = max(0, lo - pieces.longest + 1)
+        ends, sizes, logs = _matches(data[first : lo + block], pieces)
+        mine = ends + first > lo
+        now, s0, k0 = 0, -np.inf, 0
+        for e, n, p in zip((ends[mine] + first).tolist(), sizes[mine].tolist(), logs[mine].tolist()):
+            if e != now:
+                if now:
+                    best[now], count[now] = s0, k0
+                now, s0, k0 = e, -np.inf, 0
+            s, k = best[e - n] + p, count[e - n] + 1
+            if s > s0 + 1e-12 or (s > s0 - 1e-12 and k < k0):
+                s0, k0 = s, k
+        if now:
+            best[now], count[now] = s0, k0
+    return count[-1], best[-1]
+
+
 def _count_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: Pieces = shared.value
@@ -105,7 +158,11 @@ def _count_batches(shared):
             n = rows.num_rows
             starts, ends, row = bpe.pre_tokens(data, offs)
             _, first, which = np.unique(c.span_hashes(data, None, starts, ends), return_index=True, return_inverse=True)
-            tokens, score, _ = forward(data, starts[first], ends[first], pieces)
+            long = ends[first] - starts[first] > LONG
+            tokens, score = np.zeros(len(first), np.int64), np.zeros(len(first))
+            tokens[~long], score[~long], _ = forward(data, starts[first[~long]], ends[first[~long]], pieces)
+            for i in np.flatnonzero(long).tolist():
+                tokens[i], score[i] = forward_alone(data[starts[first[i]] : ends[first[i]]], pieces)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, tokens[which], n).astype(np.int64)), pa.array(np.bincount(row, score[which], n))], names=["doc_id", "n_pre_tokens", "n_tokens", "score"])
 
     return run

@@ -1,14 +1,16 @@
 """URL filters: host-suffix and path-prefix expressions against hashed rules.
 
-Each (host, path) expands into every suffix of the host at a label boundary times
-every prefix of the path that has the length of some rule's path. An expression's
-SHA-256 meets the rules by an equi-join on its first four bytes; the full digest
-then confirms it. Of the rules that fit, the longest wins (rule text length; at a
-tie the longer host, then block).
+Each (host, path) expands into the suffixes of the host at label boundaries that have
+as many labels as some rule's host, times the prefixes of the path that have the
+length of some rule's path. An expression's SHA-256 meets the rules by an equi-join
+on its first four bytes; the full digest then confirms it. Of the rules that fit,
+the longest wins (rule text length; at a tie the longer host, then block).
 
 Scale. Only the url column is read. Distinct (host, path) pairs are judged, so a
 url that a third of all pages share is expanded once; Spark picks a broadcast or
-a shuffle join by the size of the rule table. All of it is DataFrame expressions.
+a shuffle join by the size of the rule table. A host or path of any length costs
+what it takes to read it, for each of the few lengths that rules have. All of it is
+DataFrame expressions.
 
 A null url, or one without `://`, has empty host and path and gets the method's
 verdict. Repeated rows are each returned. An empty table gives an empty result,
@@ -33,7 +35,7 @@ def ascii_lower(col: Column) -> Column:
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path) of a url by the contract's rules; both empty where there is no `://`."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring")(url, at + 3) if False else F.substr(url, at + 3)).otherwise(F.lit(""))
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -54,17 +56,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         F.col("rule"),
         F.col("verdict"),
         F.instr("rule", "/").alias("slash"),
-    ).select("rule", "verdict", F.when(F.col("slash") > 0, F.length("rule") - F.col("slash") + 1).otherwise(F.lit(0)).alias("path_length"), F.sha2("rule", 256).alias("digest"))
+    ).select("rule", "verdict", F.when(F.col("slash") > 0, F.length("rule") - F.col("slash") + 1).otherwise(F.lit(0)).alias("path_length"), F.size(F.split(F.substring_index("rule", "/", 1), "\\.")).alias("labels"), F.sha2("rule", 256).alias("digest"))
     hashed = hashed.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
-    # The lengths of rules' paths: a set that no more rules than distinct lengths can widen.
-    lengths = [r[0] for r in hashed.select("path_length").distinct().orderBy("path_length").collect()]
+    # The lengths of rules' paths and the numbers of labels of their hosts: a few numbers, however many rules there are.
+    found = hashed.agg(F.array_sort(F.collect_set("path_length")), F.array_sort(F.collect_set("labels"))).first()
+    lengths, counts = found if found else ([], [])
     if not lengths:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     distinct = rows.distinct().where(F.col("host") != "")
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
+    suffixes = F.array_compact(F.array(*(F.when(F.col("dots") >= n - 1, F.substring_index("host", ".", -n)) for n in counts)))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
-    distinct = distinct.select("host", "path").distinct()
+    distinct = distinct.withColumn("dots", dots)
     expressions = distinct.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
     keyed = expressions.select("host", "path", F.length("suffix").alias("host_length"), F.sha2(F.concat("suffix", "prefix"), 256).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     fits = keyed.join(hashed, "short").where(F.col("full") == F.col("digest"))
