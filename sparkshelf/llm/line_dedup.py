@@ -103,49 +103,39 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """uint64 band hashes, (n, BINS). A function is 32 bits of a hash: 20 of value, 12 that pick the bin."""
+    """uint64 band hashes, (n, BINS), of mixed shingle hashes. A function is the upper half of a product with an odd number: 20
+    bits of value, 12 that pick the bin."""
     out = np.zeros((n, BINS), np.uint64)
     empty = np.uint32(0xFFFFFFFF)
     base = (line * BINS).astype(np.int64)
     for f in range(HASHES):
-        if f % 2 == 0:
-            x = h * _SEEDS[f]
-            x ^= x >> U64(32)
-            x *= U64(0xBF58476D1CE4E5B9)
-            x ^= x >> U64(29)
-            part = x.astype(np.uint32)
-        else:
-            part = (x >> U64(32)).astype(np.uint32)
+        part = (h * _SEEDS[f] >> U64(32)).astype(np.uint32)
         sig = np.full(n * BINS, empty, np.uint32)
         np.minimum.at(sig, base + ((part & np.uint32(4095)) * np.uint32(BINS) >> np.uint32(12)), part >> np.uint32(12))
         sig = sig.reshape(n, BINS)
-        hole = sig == empty
-        if hole.any():
-            full = sig.copy()
+        some = np.flatnonzero((sig == empty).any(axis=1))
+        if len(some):
+            full = sig[some]
+            mine = full.copy()
             for step in range(1, BINS):
-                borrow = hole & (sig == empty)
-                if not borrow.any():
+                hole = mine == empty
+                if not hole.any():
                     break
                 moved = np.roll(full, -step, axis=1)
-                sig = np.where(borrow & (moved != empty), moved + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF), sig)
+                mine = np.where(hole & (moved != empty), moved + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF), mine)
+            sig[some] = mine
         out = c.mix(out * U64(0xA0761D6478BD642F) + sig.astype(np.uint64))
     return out
 
 
-def _monotonous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
+def _monotonous(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float) -> np.ndarray:
     """Whether each line may have fewer than `least` different shingles: whether its first ones fill fewer of 1,024 cells. A
-    line that has fewer fills fewer for certain."""
-    if not len(starts):
-        return np.zeros(0, bool)
-    size = np.minimum(ends - starts - SHINGLE + 1, 192)
+    line that has fewer fills fewer for certain. x: a hash of the shingle at each place."""
+    size = np.minimum(ends - starts - SHINGLE + 1, 112)
     line = np.repeat(np.arange(len(starts)), size)
     at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    # Four of a shingle's bytes tell enough of them apart.
-    x = data[at].astype(np.uint32) * np.uint32(7919)
-    for k, m in ((3, 104729), (5, 1299709), (7, 15485863)):
-        x += data[at + k] * np.uint32(m)
     seen = np.zeros((len(starts), 1024), bool)
-    seen[line, x >> np.uint32(13) & np.uint32(1023)] = True
+    seen[line, (x[at] >> U64(54)).astype(np.int64)] = True
     return np.count_nonzero(seen, axis=1) < least
 
 
@@ -159,8 +149,6 @@ def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     out = []
     many = np.flatnonzero(size >= SIMILAR * FEW)
     short = size < FEW / SIMILAR
-    short[many] |= _monotonous(data, starts[many], ends[many], FEW / SIMILAR)
-    few = np.flatnonzero(short)
     if len(many):
         n = len(data) - SHINGLE + 1
         two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << U64(8)
@@ -169,6 +157,7 @@ def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         x ^= x >> U64(32)
         x *= U64(0x94D049BB133111EB)
         x ^= x >> U64(29)
+        short[many] |= _monotonous(x, starts[many], ends[many], FEW / SIMILAR)
         # Number of the line that a position's shingle lies in, -1 between lines.
         first, stop = starts[many], ends[many] - SHINGLE + 1
         edge = np.empty(2 * len(many) + 1, np.int64)
@@ -181,6 +170,7 @@ def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         # A line without a shingle of even hash has few shingles, and signs all of them.
         filled = np.bincount(number[at], minlength=len(many)) > 0
         out.append((many[filled], sig[filled]))
+    few = np.flatnonzero(short)
     if len(few):
         h, line = shingle_hashes(data, starts[few], ends[few])
         out.append((few, c.mix(signatures(h, line, len(few)) + U64(1))))
@@ -401,18 +391,19 @@ def _small_tasks(task: np.ndarray, bodies: list[bytes], most: int) -> list[tuple
     data = np.frombuffer(b"".join(bodies), np.uint8)
     ends = np.cumsum([len(b) for b in bodies])
     h, line = shingle_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
-    # One sort by task, 40 bits of the shingle, and line: holders of a shingle stand side by side.
-    key = task[line].astype(np.uint64) << U64(52) | (h >> U64(24)) << U64(12) | line.astype(np.uint64)
+    # One sort by 52 bits of task and shingle, and line: holders of a shingle stand side by side.
+    key = (h + (task.astype(np.uint64) * _SEEDS[0])[line]) * _SEEDS[1] >> U64(12) << U64(12) | line.astype(np.uint64)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     who, shingle = (key & U64(4095)).astype(np.int64), key >> U64(12)
     size = np.bincount(who, minlength=len(bodies))
     # Lines of a task are neighbours, so a pair is its first line and a step below `most`.
     shared = np.zeros(len(bodies) * most, np.int64)
-    same = np.arange(len(shingle))
+    same = np.flatnonzero(shingle[1:] == shingle[:-1])
     for d in range(1, most):
-        same = same[: np.searchsorted(same, len(shingle) - d)]
-        same = same[shingle[same] == shingle[same + d]]
+        if d > 1:
+            same = same[: np.searchsorted(same, len(shingle) - d)]
+            same = same[shingle[same] == shingle[same + d]]
         if not len(same):
             break
         shared += np.bincount(who[same] * most + who[same + d] - who[same], minlength=len(shared))
@@ -420,8 +411,8 @@ def _small_tasks(task: np.ndarray, bodies: list[bytes], most: int) -> list[tuple
     for p in np.flatnonzero(shared).tolist():
         i, j, k = p // most, p // most + p % most, int(shared[p])
         over = k - SIMILAR * (size[i] + size[j] - k)
-        # Close calls are settled on the bytes themselves, as 40 bits may collide.
-        if over > 4 or (over > -4 and _exact(bodies[i], bodies[j])):
+        # Close calls are settled on the bytes themselves, as 52 bits may collide.
+        if over > 2 or (over > -2 and _exact(bodies[i], bodies[j])):
             out.append((i, j))
     return out
 
