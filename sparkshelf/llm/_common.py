@@ -211,6 +211,13 @@ def row_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def plain(df: DataFrame, *known: str):
+    """(df, its columns but the known ones renamed by their place, and what gives a table of these columns its names back): so
+    columns of any name, clashing or with marks of their own, pass through."""
+    back = df.columns
+    return df.toDF(*(n if n in known else f"_{i}" for i, n in enumerate(back))), lambda out: out.toDF(*back)
+
+
 def free_name(base: str, taken) -> str:
     taken = {t.lower() for t in taken}
     while base.lower() in taken:

@@ -5,24 +5,27 @@
 over the distinct terms i of a text. The factors v learn which terms are toxic
 only together (an insult and a group), which additive weights can't hold. Terms
 are lower-cased words (runs of letters, digits and non-ASCII characters) and their
-4-, 5- and 6-byte beginnings, hashed to 64 bits; so an inflected form shares
-features with its stem. All terms interact. The factors of those that don't tell
-the classes apart on their own by more than chance (`STRONG`) join after `ALONE`
-epochs, learn more slowly and pay a group-lasso penalty (`LASSO`), or they would
-mostly fit noise; one whose pairs matter keeps its factors all the same.
+4-, 5- and 6-byte beginnings, hashed to `BITS` bits; so an inflected form shares
+features with its stem. Every term of the learning rows is a feature, and all
+features interact. The factors of those that don't tell the classes apart on their
+own by more than chance (`STRONG`) join after `ALONE` epochs, start calmly (`CALM`) and
+pay a group-lasso penalty (`LASSO`), or they would mostly fit noise; one whose pairs
+matter keeps its factors all the same.
 
 Learning. Labels come from a sample of labelled rows bounded by `SAMPLE` (the rows
-of the smallest hash of doc_id, so the choice doesn't depend on order). Executors
-count, for each class, the documents that hold a term; terms in at least
-`LEAST_DOCS` sampled documents are features. The counts and the sample's features
-are bounded by the sample; only they come to the driver, where the machine is
-fitted. The broadcast model is bounded in the same way.
-
-Scoring is map-only, over whole texts. A null or empty text has no terms and the
-score of the bias. Labels that are null, or of ids that no document has, count for
-nothing; of several labels of an id the largest counts. Without labels of both
-classes every score is 0. Repeated rows are each scored. Extra columns don't
-matter; an empty table gives an empty result.
+of the smallest hash of doc_id, so the choice doesn't depend on order): a share of
+the hash's range that holds so many of them, so no task or driver sorts the labels.
+Only the hashed terms of those rows, in bounded pieces, come to the driver, where
+the machine is fitted; its size, and that of the broadcast model, follow from them.
+`L1`, `LASSO` and `CALM` were chosen by cross-validation within learning rows.
+
+Scoring is map-only, over whole texts; a very long one has more terms, each counted
+once. A null or empty text has no terms and the score of the bias; equal texts have
+equal scores. Labels that are null, or of ids that no document has, count for
+nothing; of several labels of an id the largest counts, and rows that share a
+labelled id are all learned from. Without labels of both classes every score is 0.
+Repeated rows are each scored. Extra columns don't matter, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,18 +36,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 from . import _common as c
 from ._common import U64
 
 THRESHOLD = 0.7
-SAMPLE = 12_000
-LEAST_DOCS = 3
+SAMPLE = 24_000
+BITS = 24
 FACTORS, EPOCHS, BATCH = 4, 12, 64
 RATE, L1, L2 = 0.15, 1e-3, 1e-4
 STRONG = 10.8  # chi-square of a term, p < 0.001
-ALONE, SLOW_RATE, LASSO = 4, 0.05, 3e-3
-MOST_TERMS = 400_000
+ALONE, LASSO = 4, 3e-3
+CALM = 1.0  # what squared gradients of w, and of factors that aren't strong, start from: rare terms move little
 SEED = 11
 
 _WORD = np.zeros(256, bool)
@@ -75,31 +79,20 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], r[new]
 
 
-def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, terms) of each sampled row, as binary."""
+def _id_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, ids) of each sampled row: the hashed terms, as binary."""
     for rows, data, offs in c.slices(batches, "text"):
         h, r = terms(data, offs)
+        ids = (h >> U64(64 - BITS)).astype(np.uint32)
         cuts = np.searchsorted(r, np.arange(rows.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([h[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "toxic", "terms"])
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        y, t = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        if not t:
-            continue
-        h, n = np.unique(np.frombuffer(b"".join(t), np.uint64), return_counts=True)
-        pos, m = np.unique(np.frombuffer(b"".join(x for x, k in zip(t, y) if k), np.uint64), return_counts=True)
-        p = np.zeros(len(h), np.int64)
-        p[np.searchsorted(h, pos)] = m
-        yield pa.RecordBatch.from_arrays([pa.array(c.signed(h)), pa.array(n), pa.array(p)], names=["term", "n", "pos"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "toxic", "ids"])
 
 
 class Machine:
-    """A factorization machine with binary features, held sparsely by hash."""
+    """A factorization machine with binary features in a hashed space, held sparsely."""
 
     def __init__(self, vocab: np.ndarray, factors: int = FACTORS):
-        self.vocab = vocab  # sorted hashes
+        self.vocab = vocab  # sorted hashed terms
         self.w0 = 0.0
         self.w = np.zeros(len(vocab), np.float32)
         rng = np.random.default_rng(SEED)
@@ -123,18 +116,17 @@ class Machine:
             out += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
         return out
 
-    def fit(self, index: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
-        """AdaGrad on logistic loss; L1 on w (proximal), L2 on v, of terms that aren't strong group lasso on v (proximal);
+    def fit(self, index: np.ndarray, cuts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
+        """index[cuts[i]:cuts[i + 1]]: features of row i. AdaGrad on logistic loss; L1 on w (proximal), L2 on v, of terms that aren't strong group lasso on v (proximal);
         classes of equal total weight up to a factor of 4."""
         n = len(y)
         pos = max(1, int(y.sum()))
         weight = np.where(y == 1, min(4.0, max(1.0, (n - pos) / pos)), 1.0)
         rate = pos / n
         self.w0 = float(np.log((rate + 1e-9) / (1 - rate + 1e-9)))
-        cuts = np.searchsorted(row, np.arange(n + 1))
-        gw, gv, g0 = np.full(len(self.w), 1e-2), np.full(self.v.shape, 1e-2), 1e-2
+        gw, g0 = np.full(len(self.w), CALM), 1e-2
+        gv = np.repeat(np.where(self.strong, 1e-2, CALM)[:, None], self.v.shape[1], axis=1)
         rng = np.random.default_rng(SEED)
-        rate_v = np.where(self.strong, RATE, SLOW_RATE)[:, None]
         lasso = np.where(self.strong, 0.0, LASSO)[:, None]
         for epoch in range(epochs):
             self.active = self.strong | (epoch >= ALONE)
@@ -166,10 +158,13 @@ class Machine:
                         s = np.bincount(ra, mine, len(docs))
                         grad[:, f] += np.bincount(ba, err[ra] * (s[ra] - mine), len(fa))
                     gv[fa] += grad * grad
-                    step = rate_v[fa] / np.sqrt(gv[fa])
+                    step = RATE / np.sqrt(gv[fa])
                     v = v - step * grad
                     size = np.sqrt((v * v).sum(axis=1, keepdims=True))
                     self.v[fa] = v * np.maximum(1 - step.mean(axis=1, keepdims=True) * lasso[fa] / np.maximum(size, 1e-12), 0)
+        # Features without weight and factors add nothing.
+        live = (self.w != 0) | (self.v != 0).any(axis=1)
+        self.vocab, self.w, self.v = self.vocab[live], self.w[live], self.v[live]
         self.active = np.ones(len(self.vocab), bool)
 
 
@@ -179,50 +174,44 @@ def _spread(n: np.ndarray, pos: np.ndarray, docs: int, toxic: int) -> np.ndarray
     return (pos - want) ** 2 / np.maximum(want * (1 - n / max(docs, 1)) * (1 - toxic / max(docs, 1)), 1e-9)
 
 
+def learn(rows: list[tuple[np.ndarray, int]]) -> Machine:
+    """A machine of (hashed terms, label) rows of both classes."""
+    y = np.array([t for _, t in rows], np.float64)
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x, _ in rows])])
+    flat = np.concatenate([x for x, _ in rows])
+    seen = np.zeros(1 << BITS, bool)
+    seen[flat] = True
+    vocab = np.flatnonzero(seen).astype(np.uint32)
+    place = np.cumsum(seen, dtype=np.int32) - 1
+    index = place[flat]
+    del flat, seen, place
+    model = Machine(vocab)
+    n = np.bincount(index, minlength=len(vocab)).astype(float)
+    pos = np.bincount(index, np.repeat(y, np.diff(cuts)), len(vocab))
+    model.strong = _spread(n, pos, len(y), int(y.sum())) > STRONG
+    model.fit(index, cuts, y)
+    return model
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) -> Machine | None:
-    """A machine fitted on at most `sample` labelled rows; None where there aren't both classes. `learn_from`: a boolean
+    """A machine fitted on some `sample` labelled rows at most; None where there aren't both classes. `learn_from`: a boolean
     Column over doc_id."""
     chosen = labels.where(learn_from & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # Bounded by `sample` rows of two numbers, so it may be broadcast.
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # The share of the hash's range that holds `sample` rows but for chance: no order, and nothing but a count at the driver.
+    share = min(1.0, sample / max(1, chosen.count()))
+    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Some `sample` rows of two numbers, so they may be broadcast.
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    seen = c.cut(held.mapInArrow(_term_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms binary"))
-    n, toxic = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if toxic == 0 or toxic == n:
+    kind = st.StructType([st.StructField("doc_id", docs.schema["doc_id"].dataType), st.StructField("toxic", st.IntegerType()), st.StructField("ids", st.BinaryType())])
+    found = c.cut(held.mapInArrow(_id_batches, kind))
+    rows = []
+    for r in found.toLocalIterator():  # a part at a time
+        rows.append(((r["doc_id"], r["toxic"], len(r["ids"])), np.frombuffer(r["ids"], np.uint32)))
+    # The same order however the table is partitioned.
+    rows.sort(key=lambda r: (*r[0], r[1].tobytes()))
+    if len({k[1] for k, _ in rows}) < 2:
         return None
-    counts = seen.select("toxic", "terms").mapInArrow(_count_batches, "term bigint, n bigint, pos bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_DOCS)
-    # Bounded by the sample; the terms most unlike chance come first where even these are too many to fit.
-    gap = F.abs(F.col("pos") - F.col("n") * (toxic / n)) / F.sqrt(F.col("n"))
-    table = counts.orderBy(gap.desc(), "term").limit(MOST_TERMS).select("term", "n", "pos").toPandas()
-    order = np.argsort(table["term"].to_numpy().view(np.uint64))
-    table = table.iloc[order]
-    model = Machine(table["term"].to_numpy().view(np.uint64).copy())
-    chi = _spread(table["n"].to_numpy(float), table["pos"].to_numpy(float), n, toxic)
-    model.strong = chi > STRONG
-    shared = docs.sparkSession.sparkContext.broadcast(model.vocab)
-    rows = seen.mapInArrow(_index_batches(shared), "doc_id bigint, toxic int, at binary").orderBy("doc_id", "toxic", "at").toLocalIterator()
-    at, y = [], []
-    for r in rows:
-        at.append(np.frombuffer(r["at"], np.int32))
-        y.append(r["toxic"])
-    y = np.array(y, np.float64)
-    model.fit(np.concatenate(at), np.repeat(np.arange(len(at)), [len(x) for x in at]), y)
-    return model
-
-
-def _index_batches(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        for batch in batches:
-            out = []
-            for t in batch.column(2).to_pylist():
-                h = np.frombuffer(t, np.uint64)
-                at = np.searchsorted(vocab, h)
-                at[at == len(vocab)] = 0
-                out.append(at[vocab[at] == h].astype(np.int32).tobytes() if len(vocab) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "toxic", "at"])
-
-    return run
+    return learn([(ids, int(k[1] > 0)) for k, ids in rows])
 
 
 def _score_batches(shared):
@@ -233,7 +222,7 @@ def _score_batches(shared):
             score = np.zeros(n)
             if model is not None:
                 h, r = terms(data, offs)
-                at = model.find(h)
+                at = model.find((h >> U64(64 - BITS)).astype(np.uint32))
                 score = 1 / (1 + np.exp(-np.clip(model.raw(at[at >= 0], r[at >= 0], n), -40, 40)))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score)], names=[*rows.schema.names, "score"])
 
@@ -243,8 +232,8 @@ def _score_batches(shared):
 def score(docs: DataFrame, model: Machine | None, keep: list[str]) -> DataFrame:
     """`keep` columns, text (null: empty) and score of each row of docs."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(model)), f"{ddl}, score double")
+    kind = st.StructType([*rows.schema.fields, st.StructField("score", st.DoubleType())])
+    return rows.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(model)), kind)
 
 
 def learn_rows():
@@ -261,15 +250,9 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, all columns as they are, that score below the threshold."""
     model = fit(docs, labels, learn_rows())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    score_name = c.free_name("score", docs.columns)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in _score_batches(shared)(batches):
-            yield got.rename_columns([*got.schema.names[:-1], score_name])
-
-    return docs.mapInArrow(run, f"{ddl}, `{score_name}` double").where(F.col(score_name) < threshold).drop(score_name)
+    rows, back = c.plain(docs, "doc_id", "text")
+    kind = st.StructType([*rows.schema.fields, st.StructField("score", st.DoubleType())])
+    return back(rows.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(model)), kind).where(F.col("score") < threshold).drop("score"))
 
 
 OP3_SQL = None
