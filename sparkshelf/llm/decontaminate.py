@@ -6,16 +6,19 @@ weighted 5-word shingles (weight: how often one occurs; fewer than five words: t
 whole sequence). A window is a match where its weighted Jaccard similarity
 sum(min)/sum(max) with the item is 0.8 or more.
 
-Search. Both sides have a 64-bit SimHash. It is cut into four 16-bit blocks; of two
-fingerprints within `RADIUS` (19) bits some block differs in 4 bits at most, so the
-index holds, for each block, every value within 4 bits of an item's: four lookups
+Search. Both sides have a 64-bit SimHash. It is cut into five blocks of 12 or 13 bits;
+of two fingerprints within `RADIUS` (19) bits some block differs in 3 bits at most, so
+the index holds, for each block, every value within 3 bits of an item's: five lookups
 find all items within the radius, for certain. Candidates are then compared exactly.
 Sets of similarity 0.8 lie 9.5 bits apart on average, with a standard deviation of
 2.8; so at the threshold itself one in some thousand lies beyond the radius, and
 fewer above it (equal sets have distance 0).
 
-Only windows that share a shingle with an item of their size are fingerprinted: a
-window with no shared shingle has similarity 0.
+Only windows that share enough shingles with an item of their size are fingerprinted:
+of sets of a and b shingles, weights counted, at least 0.8 / 1.8 of a + b must be in
+both. Where an item's places are dense enough is found in one pass over them, and the
+bit sums of windows roll along the text; so a long document, or a sentence that all
+items share, costs time in proportion to its places.
 
 Scale. The benchmark is the small side: its index is broadcast where its size is
 within `BROADCAST_BYTES` (checked); a larger one is dealt out in parts of that size,
@@ -42,10 +45,12 @@ from . import _common as c
 from ._common import U64
 
 WORDS, SIMILAR = 5, 0.8
-RADIUS, BLOCKS = 19, 4
+RADIUS, WIDTHS = 19, (13, 13, 13, 13, 12)
 BROADCAST_BYTES = 128 << 20
-#: What one item takes in the index: 4 blocks of 2517 neighbours each, its shingles aside.
-ITEM_BYTES = 4 * 2517 * 4
+#: What one item takes in the index: 5 blocks of 378 neighbours at most each, its shingles aside.
+ITEM_BYTES = 5 * 378 * 4
+#: Windows whose bits are summed at once.
+RUN = 4096
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -79,66 +84,96 @@ class Index:
             for s in set(sh.tolist()):
                 owner.setdefault(s, []).append(k)
         self.shingles = np.array(sorted(owner), np.uint64)
-        self.owners = [owner[s] for s in self.shingles.tolist()]
+        #: Items of each shingle, end to end, and where a shingle's begin.
+        self.owned = np.concatenate([[0], np.cumsum([len(owner[s]) for s in self.shingles.tolist()])]).astype(np.int64)
+        self.owner = np.array([k for s in self.shingles.tolist() for k in owner[s]], np.int64)
         #: Items of fewer words than a shingle: by size, the items of each hash of the whole sequence.
         self.short: dict[int, dict[int, list[int]]] = {}
         for k, n in enumerate(self.words):
             if n < WORDS:
                 self.short.setdefault(n, {}).setdefault(next(iter(self.bags[k])), []).append(k)
-        near = np.array([sum(1 << i for i in at) for r in range(RADIUS // BLOCKS + 1) for at in combinations(range(16), r)], np.uint64)
-        #: For each block: items by value, and where each value's begin.
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        #: For each block: where it begins, its mask, items by value, and where each value's begin.
+        self.blocks: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         self.prints = np.array(self.prints, np.uint64)
-        for b in range(BLOCKS):
-            value = (((self.prints >> U64(16 * b)) & U64(0xFFFF))[:, None] ^ near[None, :]).astype(np.int64).ravel()
+        shift = 0
+        for width in WIDTHS:
+            near = np.array([sum(1 << i for i in at) for r in range(RADIUS // len(WIDTHS) + 1) for at in combinations(range(width), r)], np.uint64)
+            mask = (1 << width) - 1
+            value = (((self.prints >> U64(shift)) & U64(mask))[:, None] ^ near[None, :]).astype(np.int64).ravel()
             order = np.argsort(value, kind="stable")
-            self.blocks.append(((order // len(near)).astype(np.int32), np.searchsorted(value[order], np.arange(65537))))
+            self.blocks.append((shift, mask, (order // len(near)).astype(np.int32), np.searchsorted(value[order], np.arange(mask + 2))))
+            shift += width
 
     def within(self, f: int) -> list[int]:
         """Every item whose fingerprint is within RADIUS bits of f."""
         found = []
-        for b, (items, begin) in enumerate(self.blocks):
-            v = f >> (16 * b) & 0xFFFF
+        for shift, mask, items, begin in self.blocks:
+            v = f >> shift & mask
             found.append(items[begin[v] : begin[v + 1]])
         found = np.unique(np.concatenate(found))
         return found[np.bitwise_count(self.prints[found] ^ U64(f)) <= RADIUS].tolist()
 
 
+def rolled(sh: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """SimHash of the windows of `span` shingles from each of `starts` (ascending): bit sums roll over neighbouring windows."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + RUN))
+        part = sh[starts[lo] : starts[hi - 1] + span]
+        bits = np.unpackbits(c.mix(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        at = starts[lo:hi] - starts[lo]
+        size = np.minimum(span, len(part) - at)[:, None]
+        out[lo:hi] = np.packbits((sums[at + size[:, 0]] - sums[at]) * 2 > size, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        lo = hi
+    return out
+
+
 def match_document(index: Index, sh: np.ndarray, n_words: int, at: np.ndarray, which: np.ndarray) -> dict[int, tuple[float, int, int]]:
     """Best (similarity, first word, words) for each item that some window of one document matches.
 
     sh: the document's shingles in order. at, which: those of them that some item has, and its place in index.shingles.
     """
-    near: dict[int, list[int]] = {}
-    for p, s in zip(at.tolist(), which.tolist()):
-        for k in index.owners[s]:
-            near.setdefault(k, []).append(p)
-    # Windows to look at for each size: those that hold a shared shingle of an item of that size.
-    todo: dict[int, set[int]] = {}
-    shared: dict[tuple[int, int], dict[int, int]] = {}
-    for k, places in near.items():
-        n = index.words[k]
-        span = max(1, n - WORDS + 1)
-        last = max(0, len(sh) - span)
-        for p in places:
-            for w in range(max(0, min(p - span + 1, last)), min(p, last) + 1):
-                todo.setdefault(span, set()).add(w)
-                hits = shared.setdefault((span, w), {})
-                hits[k] = hits.get(k, 0) + 1
+    many = index.owned[which + 1] - index.owned[which]
+    place = np.repeat(at, many)
+    item = index.owner[np.repeat(index.owned[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+    order = np.argsort(item, kind="stable")
+    place, item = place[order], item[order]
+    cuts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, np.int64)
+    # Windows to look at for each size: those with enough places of an item of that size.
+    todo: dict[int, list[np.ndarray]] = {}
+    dense: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(item)).tolist()):
+        k = int(item[lo])
+        span = max(1, index.words[k] - WORDS + 1)
+        size = min(span, len(sh))
+        need = max(1, int(np.ceil(SIMILAR / (1 + SIMILAR) * (span + size) - 1e-9)))
+        if hi - lo < need:
+            continue
+        p = place[lo:hi]
+        # The window from w holds p[i] to p[i + need - 1] where p[i + need - 1] - size < w <= p[i].
+        first, last = np.maximum(p[need - 1 :] - size + 1, 0), np.minimum(p[: len(p) - need + 1], len(sh) - size)
+        some = np.flatnonzero(first <= last)
+        if not len(some):
+            continue
+        depth = np.zeros(len(sh) - size + 2, np.int32)
+        np.add.at(depth, first[some], 1)
+        np.add.at(depth, last[some] + 1, -1)
+        w = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+        todo.setdefault(span, []).append(w)
+        dense.setdefault(span, []).append((k, w))
     best: dict[int, tuple[float, int, int]] = {}
-    for span, windows in todo.items():
-        for w in sorted(windows):
-            part = sh[w : w + span]
-            hits = shared[span, w]
-            # Too few shared shingles for any item: similarity is at most shared / item's.
-            live = [k for k, n in hits.items() if n >= SIMILAR * len(part) * 0.5]
-            if not live:
-                continue
+    for span, parts in todo.items():
+        starts = np.unique(np.concatenate(parts))
+        hopeful = {k: set(w.tolist()) for k, w in dense[span]}
+        for w, f in zip(starts.tolist(), rolled(sh, starts, min(span, len(sh))).tolist()):
             bag = None
-            for k in index.within(simhash(part)):
-                if k not in hits or max(1, index.words[k] - WORDS + 1) != span:
+            for k in index.within(f):
+                if k not in hopeful or w not in hopeful[k]:
                     continue
-                bag = bag or Counter(part.tolist())
+                bag = bag or Counter(sh[w : w + span].tolist())
                 s = weighted_jaccard(index.bags[k], bag)
                 if s >= SIMILAR - 1e-12 and (k not in best or s > best[k][0]):
                     best[k] = (s, w, min(n_words - w, index.words[k]))
@@ -211,11 +246,11 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs, all columns as they are, of which no window matches an item. Rows are matched by id and text hash, as
     rows of one id may differ; those found are few, and join by an anti-join that Spark plans."""
-    key = c.free_name("row_key", docs.columns)
+    docs, back = c.plain(docs, "doc_id", "text")
     named = docs.select(F.struct("doc_id", c.row_key().alias("key")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = c.cut(_matches(named, benchmark).select(F.col("doc_id.doc_id").alias("hit_id"), F.col("doc_id.key").alias("hit_key")).distinct())
-    rows = docs.withColumn(key, c.row_key())
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["hit_id"]) & (rows[key] == found["hit_key"]), "left_anti").drop(key)
+    rows = docs.withColumn("row_key", c.row_key())
+    return back(rows.join(found, rows["doc_id"].eqNullSafe(found["hit_id"]) & (rows["row_key"] == found["hit_key"]), "left_anti").drop("row_key"))
 
 
 OP5_SQL = None

@@ -500,19 +500,18 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, without the removed lines; a text that loses its last line with ink is empty. n_chars,
     where there is such a column, is the new length."""
-    lost, lost_id, lost_key = (c.free_name(n, docs.columns) for n in ("lost", "lost_id", "lost_key"))
-    gone = removals(docs).groupBy(F.col("doc_id").alias(lost_id), F.col("row_key").alias(lost_key)).agg(F.collect_set("number").alias(lost))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[lost_id]) & (c.row_key() == gone[lost_key]), "left")
+    docs, back = c.plain(docs, "doc_id", "text", "n_chars")
+    gone = removals(docs).groupBy(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key")).agg(F.collect_set("number").alias("lost"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["lost_id"]) & (c.row_key() == gone["lost_key"]), "left")
     # Lines as a column of their own, as the text is split once; numbers that stay by one hash set, whatever their number.
-    lines, left = (c.free_name(n, [*joined.columns, lost]) for n in ("lines", "left"))
-    joined = joined.select(*(docs[n] for n in docs.columns), F.col(lost), F.when(F.col(lost).isNotNull(), F.split("text", "\n")).alias(lines))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
-    joined = joined.select(*docs.columns, lost, F.when(F.col(lost).isNotNull(), F.transform(stay, lambda i: F.get(F.col(lines), i))).alias(left))
-    text = F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).when(F.exists(left, lambda x: x.rlike(r"[^ \t-\r]")), F.array_join(left, "\n")).otherwise(F.lit(""))
-    out = joined.select(*(n for n in docs.columns if n != "text"), text.alias("text"), F.col(lost))
+    joined = joined.select(*docs.columns, "lost", F.when(F.col("lost").isNotNull(), F.split("text", "\n")).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    joined = joined.select(*docs.columns, "lost", F.when(F.col("lost").isNotNull(), F.transform(stay, lambda i: F.get(F.col("lines"), i))).alias("left"))
+    text = F.when(F.col("lost").isNull() | F.col("text").isNull(), F.col("text")).when(F.exists("left", lambda x: x.rlike(r"[^ \t-\r]")), F.array_join("left", "\n")).otherwise(F.lit(""))
+    out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("lost").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return back(out.select(*docs.columns))
 
 
 OP6_SQL = None

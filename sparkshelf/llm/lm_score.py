@@ -150,7 +150,8 @@ _BLOCK = "bucket int, kind int, body binary, n binary, items bigint, total bigin
 def train(docs: DataFrame, base: float = LOG_BASE) -> tuple[DataFrame, int]:
     """Blocks of the model over every row's `text`, in the shared folder: for each bucket the exact unigram counts (kind 1) and a filter block (kind 2). Second: the number of buckets."""
     n = c.n_buckets(docs.sparkSession)
-    blocks = docs.select("text").mapInArrow(_count_blocks(n), "bucket int, kind int, h binary, n binary").repartition(n // 2, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_reduce_blocks(base), _BLOCK)
+    counted = docs.select("text").mapInArrow(_count_blocks(n), "bucket int, kind int, h binary, n binary")
+    blocks = c.deal(counted, n).sortWithinPartitions("bucket", "kind").mapInArrow(_reduce_blocks(base), _BLOCK)
     return c.cut(blocks), n
 
 

@@ -9,9 +9,10 @@ leaves that survive are links.
 Scale. Only distinct fingerprints take part, so a group of exact copies is one
 row whatever its size. The top `p` levels of the trie are walked ahead: subtrees
 are named by their prefix, and a subtree meets only those whose prefix differs in
-at most 3 bits, as one (subtree, subtree) task. p grows with the logarithm of the
-number of fingerprints, which bounds a task; a prefix that still holds more than
-`BLOCK` of them is split into chunks, and pairs of chunks meet. A task returns a
+at most 3 bits, as one (subtree, subtree) task. A subtree of `BLOCK` fingerprints is
+8 MB, so p stays at 6 (42 subtrees to meet) up to some 67 million fingerprints, and
+grows with the logarithm of their number beyond, which bounds a task; a prefix that
+still holds more than `BLOCK` of them is split into chunks, and pairs of chunks meet. A task returns a
 spanning forest of its links (at most one row a fingerprint, never all pairs);
 `components` merges the forests without the driver.
 
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 WORDS, RADIUS, SEED = 3, 3, 42
-BLOCK = 1 << 15
+BLOCK = 1 << 20
+#: Fingerprints in hand before the links of their subtrees are merged.
+FLUSH = 1 << 17
 #: Eight 8-bit lanes, one for each bit of a byte: sums of up to 255 bytes' bits.
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -179,7 +182,7 @@ def _join_tasks(radius: int, bits: int):
                     if key is not None and (got := one(sides, key)):
                         held.append(got)
                         size += len(got[0]) + len(got[1])
-                        if size > 4 * BLOCK:
+                        if size > FLUSH:
                             yield _forest(held, radius)
                             held, size = [], 0
                     key, sides = task, {}
@@ -257,7 +260,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints (`fp` bigint, distinct) reachable over links within the radius."""
     spark = distinct.sparkSession
     total = distinct.count()
-    bits = min(40, max(6, math.ceil(math.log2(max(2, total) / 8192))))
+    bits = min(40, max(6, math.ceil(math.log2(max(2, total) / BLOCK))))
     n = c.n_buckets(spark)
     nodes = distinct.select(F.expr(f"shiftrightunsigned(fp, {64 - bits})").alias("node"), "fp")
     blocks = c.cut(nodes.repartition(n, "node").sortWithinPartitions("node", "fp").mapInArrow(_pack(bits), "node bigint, chunk bigint, fps binary"))
@@ -297,11 +300,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the near duplicates of another row: of each component one row stays, of the smallest id (a null one comes
     last) and of that id's rows the one of the smallest text hash. Rows that share an id but not a component don't meet.
     Columns are those of docs."""
-    key, ident, ident_key = (c.free_name(n, docs.columns) for n in ("row_key", "first_id", "first_key"))
+    docs, back = c.plain(docs, "doc_id", "text")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
-    first = _least(docs.select("doc_id", c.row_key().alias("row_key"), "text"), low, RADIUS)[2].select(F.col("component_id.doc_id").alias(ident), F.col("component_id.row_key").alias(ident_key))
-    rows = docs.withColumn(key, c.row_key())
-    return rows.join(first, rows["doc_id"].eqNullSafe(first[ident]) & (rows[key] == first[ident_key]), "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    first = _least(docs.select("doc_id", c.row_key().alias("row_key"), "text"), low, RADIUS)[2].select(F.col("component_id.doc_id").alias("first_id"), F.col("component_id.row_key").alias("first_key"))
+    rows = docs.withColumn("row_key", c.row_key())
+    return back(rows.join(first, rows["doc_id"].eqNullSafe(first["first_id"]) & (rows["row_key"] == first["first_key"]), "left_semi").dropDuplicates(["doc_id", "row_key"]).drop("row_key"))
 
 
 OP8_SQL = None

@@ -232,6 +232,54 @@ def test_toxicity_learns_pairs_of_neutral_terms(spark):
     assert sum((got[i] >= 0.7) == bool(y) for i, y in held) > 0.97 * len(held)
 
 
+def terms_brute(text):
+    """Distinct words and word beginnings, as bytes; the two kinds apart."""
+    out = set()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().translate(bytes(c.LOWER))):
+        out |= {(0, w)} | {(k, w[:k]) for k in toxicity.STEMS if len(w) > k}
+    return out
+
+
+def test_toxicity_terms_and_sums(texts):
+    """Terms and the machine's sum against plain loops: bias, weights and every pair of features."""
+    rows = [t for _, t in texts[:20]] + ["", None, "one", "Éclair éclair ÉCLAIR", "a-b_c 12ab", "wordword " * 50]
+    raws = [(t or "").encode() for t in rows]
+    h, row = toxicity.terms(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raws])]))
+    names = {}
+    for i, t in enumerate(rows):
+        mine = h[row == i].tolist()
+        want = terms_brute(t)
+        assert len(mine) == len(set(mine)) == len(want)
+        for x in mine:
+            names.setdefault(x, []).append(i)
+    # A hash stands for one term: both occur in the same rows.
+    assert sorted(names.values()) == sorted([i for i, t in enumerate(rows) if x in terms_brute(t)] for x in set().union(*map(terms_brute, rows)))
+    r = np.random.default_rng(1)
+    model = toxicity.Machine(np.unique((h >> np.uint64(40)).astype(np.uint32)))
+    model.w0, model.w, model.v = -0.5, r.normal(size=len(model.vocab)).astype(np.float32), r.normal(size=(len(model.vocab), 4)).astype(np.float32)
+    at = model.find((h >> np.uint64(40)).astype(np.uint32))
+    got = model.raw(at, row, len(rows))
+    for i in range(len(rows)):
+        mine = at[row == i].tolist()
+        want = model.w0 + sum(float(model.w[k]) for k in mine) + sum(float(model.v[a] @ model.v[b]) for x, a in enumerate(mine) for b in mine[x + 1 :])
+        assert abs(got[i] - want) < 1e-2 * max(1, abs(want))
+
+
+def test_toxicity_query(spark, sf):
+    """All documents, whole texts; held_out and predicted as defined; held-out labels and other columns change nothing."""
+    got = {r.doc_id: r for r in toxicity.op3_toxicity(spark, sf).collect()}
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    assert set(got) == {r.doc_id for r in docs.select("doc_id").collect()}
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    other = labels.withColumn("toxic", F.when(toxicity.learn_rows(), F.col("toxic")).otherwise(1 - F.col("toxic")))
+    changed = docs.withColumns({"lang": F.lit("x"), "source": F.lit("y"), "a`b": F.lit(1)}).repartition(3)
+    model = toxicity.fit(changed, other, toxicity.learn_rows())
+    again = {r.doc_id: r.score for r in toxicity.score(changed, model, ["doc_id"]).collect()}
+    assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
+    assert toxicity.drop_toxic(changed, other).columns == changed.columns
+
+
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 0, None), (None, 0, 1), (99, 0, 1)], "doc_id bigint, quality int, toxic int")
     docs = frame(spark, EDGES)
@@ -368,6 +416,8 @@ def jaccard_windows(item, doc):
         return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
 
     A, best = bag(a), 0.0
+    if len(b) >= n >= 5 and not A.keys() & bag(b).keys():
+        return 0.0
     for s in range(max(1, len(b) - n + 1)):
         B = bag(b[s : s + n])
         low = sum((A & B).values())
@@ -428,7 +478,13 @@ def lines_brute(rows):
                 places.setdefault(x, set()).add((i, k))
     keys = list(places)
     sets = [{b[j : j + 8] for j in range(len(b) - 7)} if len(b) >= 8 else {b} for b in (k.encode() for k in keys)]
-    edges = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    # Every pair that shares a shingle, by counting; others have similarity 0.
+    holders, edges = collections.defaultdict(list), []
+    for j, mine in enumerate(sets):
+        both = collections.Counter(i for x in mine for i in holders[x])
+        edges += [(i, j) for i, n in both.items() if n >= 0.8 * (len(sets[i]) + len(mine) - n)]
+        for x in mine:
+            holders[x].append(j)
     root = union(edges, range(len(keys)))
     kept = {}
     for i, k in enumerate(keys):
