@@ -30,6 +30,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,22 +175,23 @@ def _spread(n: np.ndarray, pos: np.ndarray, docs: int, toxic: int) -> np.ndarray
     return (pos - want) ** 2 / np.maximum(want * (1 - n / max(docs, 1)) * (1 - toxic / max(docs, 1)), 1e-9)
 
 
-def learn(rows: list[tuple[np.ndarray, int]]) -> Machine:
-    """A machine of (hashed terms, label) rows of both classes."""
-    y = np.array([t for _, t in rows], np.float64)
-    cuts = np.concatenate([[0], np.cumsum([len(x) for x, _ in rows])])
-    flat = np.concatenate([x for x, _ in rows])
+def learn(flat: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> Machine:
+    """A machine of rows of both classes: flat[cuts[i]:cuts[i + 1]] holds the hashed terms of row i, and in the end their features."""
     seen = np.zeros(1 << BITS, bool)
     seen[flat] = True
     vocab = np.flatnonzero(seen).astype(np.uint32)
-    place = np.cumsum(seen, dtype=np.int32) - 1
-    index = place[flat]
-    del flat, seen, place
+    del seen
     model = Machine(vocab)
-    n = np.bincount(index, minlength=len(vocab)).astype(float)
-    pos = np.bincount(index, np.repeat(y, np.diff(cuts)), len(vocab))
+    n, pos = np.zeros(len(vocab)), np.zeros(len(vocab))
+    # In pieces, as the driver has room for the terms about once.
+    for lo in range(0, len(y), 256):
+        hi = min(lo + 256, len(y))
+        mine = np.searchsorted(vocab, flat[cuts[lo] : cuts[hi]])
+        flat[cuts[lo] : cuts[hi]] = mine
+        n += np.bincount(mine, minlength=len(vocab))
+        pos += np.bincount(mine, np.repeat(y[lo:hi], np.diff(cuts[lo : hi + 1])), len(vocab))
     model.strong = _spread(n, pos, len(y), int(y.sum())) > STRONG
-    model.fit(index, cuts, y)
+    model.fit(flat, cuts, y)
     return model
 
 
@@ -206,12 +208,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) ->
     found = c.cut(held.mapInArrow(_id_batches, kind))
     rows = []
     for r in found.toLocalIterator():  # a part at a time
-        rows.append(((r["doc_id"], r["toxic"], len(r["ids"])), np.frombuffer(r["ids"], np.uint32)))
+        rows.append((r["doc_id"], int(r["toxic"] > 0), len(r["ids"]) // 4, zlib.crc32(r["ids"]), r["ids"]))
     # The same order however the table is partitioned.
-    rows.sort(key=lambda r: (*r[0], r[1].tobytes()))
-    if len({k[1] for k, _ in rows}) < 2:
+    rows.sort(key=lambda r: r[:4])
+    y = np.array([r[1] for r in rows], np.float64)
+    if not len(y) or y.min() == y.max():
         return None
-    return learn([(ids, int(k[1] > 0)) for k, ids in rows])
+    cuts = np.concatenate([[0], np.cumsum([r[2] for r in rows])])
+    flat = np.empty(cuts[-1], np.uint32)
+    for i in range(len(rows)):
+        flat[cuts[i] : cuts[i + 1]] = np.frombuffer(rows[i][4], np.uint32)
+        rows[i] = None
+    return learn(flat, cuts, y)
 
 
 def _score_batches(shared):
