@@ -16,7 +16,7 @@ def split_attributes(col) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def coerce_attributes(col, wide: bool = True) -> Column:
+def coerce_attributes(col) -> Column:
     """A list as it is; a text split at comma, Arabic comma, full-width semicolon and newline; null as no attribute."""
     parts = F.transform(F.split(F.coalesce(T.c_(col), F.lit("")), "[,،；\\n]"), T.strip)
     return F.filter(parts, lambda x: x != "")

@@ -147,22 +147,33 @@ def drop_punctuation(col, keep: str = "") -> Column:
     return F.regexp_replace(c_(col), f"[^{WORD}{WHITE}{ARABIC}{keep_class(keep)}]", " ")
 
 
+#: Below U+0300 all is composed, nothing is Arabic or of zero width, and few characters fold unlike lower().
+_FAR, _NEAR_FOLDS = r"[^\x00-\x{2FF}]", r"[\xB5\xDF\x{149}\x{17F}\x{1F0}]"
+
+
 def normalize(col, how: Normalizer = Normalizer()) -> Column:
-    """The normaliser: null is empty; NFC, letters, marks, zero-width, punctuation, case, digits, white space, in this order."""
+    """The normaliser: null is empty; NFC, letters, marks, zero-width, punctuation, case, digits, white space, in this order.
+
+    A text without a character from U+0300 on needs the last steps only, and whether it has one is a single quick scan."""
     col = F.coalesce(c_(col), F.lit(""))
     if how.legacy:
         return normalize_legacy(col, how)
-    raw, col = col, nfc(col)
+    far = col.rlike(_FAR)
+    compose = F.pandas_udf(_compose, st.StringType())
+    x = F.coalesce(compose(F.when(far & col.rlike(_MAY_COMPOSE), col)), col)
     if how.map_chars:
-        col = map_letters(col)
-    col = F.regexp_replace(col, DIACRITICS, "")
-    col = delete(col, TATWEEL + ZERO_WIDTH)
+        x = map_letters(x)
+    x = F.regexp_replace(x, DIACRITICS, "")
+    x = delete(x, TATWEEL + ZERO_WIDTH)
     if how.remove_punct:
-        col = drop_punctuation(col, how.keep_punct)
-    col = casefold(col, raw)
+        x = drop_punctuation(x, how.keep_punct)
+    x = casefold(x, col)
     if how.map_digits:
-        col = map_digits(col)
-    return collapse(col)
+        x = map_digits(x)
+    # Punctuation and white space side by side become one space, so one pass does for both.
+    gap = f"[^{WORD}{ARABIC}{keep_class(how.keep_punct)}]+" if how.remove_punct else f"[{WHITE}]+"
+    near = F.when(col.rlike(_NEAR_FOLDS), casefold(col)).otherwise(F.lower(col))
+    return F.when(far, collapse(x)).otherwise(F.trim(F.regexp_replace(near, gap, " ")))
 
 
 def normalize_legacy(col, how: Normalizer = Normalizer()) -> Column:
@@ -178,10 +189,11 @@ def normalize_legacy(col, how: Normalizer = Normalizer()) -> Column:
 def normalize_text(col, how: Normalizer = Normalizer(), digits: bool = True, strip_zwnj: bool = False, remove_punct: bool | None = None) -> Column:
     """`normalize` after the optional digit map and zero-width removal. An explicit `remove_punct` uses a default normaliser."""
     col = F.coalesce(c_(col), F.lit(""))
+    # A text without the characters isn't walked through the map.
     if digits:
-        col = map_digits(col)
+        col = F.when(col.rlike(f"[{PERSIAN_DIGITS}{ARABIC_DIGITS}]"), map_digits(col)).otherwise(col)
     if strip_zwnj:
-        col = delete(col, "‌")
+        col = F.when(F.contains(col, F.lit("‌")), delete(col, "‌")).otherwise(col)
     return normalize(col, how if remove_punct is None else Normalizer(remove_punct=remove_punct))
 
 

@@ -9,6 +9,7 @@ from ..functions import arrays as A
 from ..functions import text as T
 from . import index as I
 from . import retrieval as V
+from .catalog import keep_first
 
 SET_A = [
     "tfidf_cosine", "bm25", "jaccard_tokens", "overlap_count", "query_len", "prod_len", "title_fuzzy", "brand_exact",
@@ -32,7 +33,7 @@ def _score_of(pairs: DataFrame, scores: DataFrame, name: str) -> DataFrame:
 
 def _with_products(candidates: DataFrame, products: DataFrame) -> DataFrame:
     names = [n for n in ("title", "brand", "category", "title_norm", "brand_norm", "attributes_norm", "attributes_list", "text_norm") if n in products.columns]
-    return candidates.join(products.select("p_id", *names).dropDuplicates(["p_id"]), "p_id", "left")
+    return candidates.join(keep_first(products, "p_id").select("p_id", *names), "p_id", "left")
 
 
 def _frequency(pairs: DataFrame, train_pairs: DataFrame, name: str) -> DataFrame:
@@ -44,8 +45,8 @@ def train_features(candidates: DataFrame, queries: DataFrame, products: DataFram
     """(query_id, query, p_id) + set A by the training rules, for candidates (query_id, p_id). Query text is the normalised one."""
     q = queries.select("query_id", F.col("query_norm").alias("q"), F.col("query_norm").alias("query"))
     base = _with_products(candidates.select("query_id", "p_id").join(q, "query_id"), products)
-    base = _score_of(base, I.tfidf_scores(queries, products, I.TFIDF_TRAIN).withColumnRenamed("tfidf", "tfidf_cosine"), "tfidf_cosine")
-    base = _score_of(base, I.bm25_scores(queries, products, I.TRAIN), "bm25")
+    base = _score_of(base, I.tfidf_scores(queries, products, I.TFIDF_TRAIN, pairs=base).withColumnRenamed("tfidf", "tfidf_cosine"), "tfidf_cosine")
+    base = _score_of(base, I.bm25_scores(queries, products, I.TRAIN, pairs=base), "bm25")
     base = _frequency(base, train_pairs, "train_product_freq")
     base = base.withColumns({"qt": T.tokens("q"), "pt": T.tokens(F.coalesce("text_norm", F.lit(""))), "qd": T.digit_runs("q"), "pd": T.digit_runs(F.coalesce("text_norm", F.lit("")))})
     base = base.withColumns({"qm": F.array_distinct(T.model_tokens_loose(F.col("qt"))), "pm": T.model_tokens_loose(F.col("pt")), "attrs": F.coalesce("attributes_list", F.array().cast("array<string>"))})
@@ -74,8 +75,8 @@ def serve_features(candidates: DataFrame, queries: DataFrame, products: DataFram
     q = queries.select("query_id", T.strip("query").alias("query"))
     base = _with_products(candidates.select("query_id", "p_id").join(q, "query_id"), products)
     text = F.coalesce("text_norm", F.lit(""))
-    base = _score_of(base, I.tfidf_scores(q.withColumnRenamed("query", "query_norm"), products, I.TFIDF_SERVE).withColumnRenamed("tfidf", "tfidf_cosine"), "tfidf_cosine")
-    base = _score_of(base, I.bm25_scores(q, products, I.SERVE, "query"), "bm25")
+    base = _score_of(base, I.tfidf_scores(q.withColumnRenamed("query", "query_norm"), products, I.TFIDF_SERVE, pairs=base).withColumnRenamed("tfidf", "tfidf_cosine"), "tfidf_cosine")
+    base = _score_of(base, I.bm25_scores(q, products, I.SERVE, "query", pairs=base), "bm25")
     base = _frequency(base, train_pairs, "train_product_freq")
     base = base.withColumns({"qt": T.tokens_split("query"), "pt": T.tokens_split(text), "qd": T.digit_chars("query"), "pd": T.digit_chars(text), "at": A.attribute_tokens(F.coalesce("attributes_list", F.array().cast("array<string>")))})
     return base.select(
@@ -101,8 +102,8 @@ def pair_features(ranked: DataFrame, queries: DataFrame, products: DataFrame, tr
     """(query_id, p_id, rank) + set B for ranked (query_id, p_id, rank)."""
     q = queries.select("query_id", F.col("query_norm").alias("q"), F.lower("query").alias("ql"))
     base = _with_products(ranked.select("query_id", "p_id", "rank").join(q, "query_id"), products)
-    base = _score_of(base, I.bm25_scores(queries, products, I.INDEX).withColumnRenamed("bm25", "bm25_score"), "bm25_score")
-    base = _score_of(base, I.tfidf_scores(queries, products).withColumnRenamed("tfidf", "tfidf_score"), "tfidf_score")
+    base = _score_of(base, I.bm25_scores(queries, products, I.INDEX, pairs=base).withColumnRenamed("bm25", "bm25_score"), "bm25_score")
+    base = _score_of(base, I.tfidf_scores(queries, products, pairs=base).withColumnRenamed("tfidf", "tfidf_score"), "tfidf_score")
     base = _frequency(base, train_pairs, "popularity") if train_pairs is not None else base.withColumn("popularity", F.lit(0))
     text = F.coalesce("text_norm", F.lit(""))
     title = F.coalesce("title_norm", text)

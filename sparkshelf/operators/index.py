@@ -78,17 +78,22 @@ def query_tokens(queries: DataFrame, preset: BM25, text: str = "query_norm") ->
     return words.groupBy("query_id", "token").agg((F.count("*") if preset.repeats else F.lit(1)).cast("int").alias("qtf"))
 
 
-def bm25_scores(queries: DataFrame, products: DataFrame, preset: BM25 = INDEX, query_text: str = "query_norm", text: str = "text_norm", post: DataFrame | None = None) -> DataFrame:
-    """(query_id, p_id, bm25) for every pair that shares a token."""
+def bm25_scores(queries: DataFrame, products: DataFrame, preset: BM25 = INDEX, query_text: str = "query_norm", text: str = "text_norm", post: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, p_id, bm25) for every pair that shares a token; with `pairs` (query_id, p_id), for those only."""
     post = postings(products, preset, text) if post is None else post
     n, avgdl = corpus_stats(products, preset, text).first()
     q = query_tokens(queries, preset, query_text)
     # Postings of query tokens only, used twice: for document frequencies and for scores.
-    wanted = post.join(q.select("token").distinct(), "token", "left_semi").persist()
-    weighted = wanted.join(document_frequency(wanted), "token")
+    wanted = post.join(q.select("token").distinct(), "token", "left_semi")
+    df = document_frequency(wanted)
+    if pairs is not None:
+        both = pairs.select("query_id", "p_id").distinct()
+        wanted = wanted.join(both.select("p_id").distinct(), "p_id", "left_semi")
+        q = q.join(both, "query_id")
+    weighted = wanted.join(df, "token")
     length = F.lit(1 - preset.b) + preset.b * F.col("dl") / F.lit(avgdl if avgdl else 1.0)
     part = preset.idf_of(F.lit(float(n)), F.col("df")) * F.col("tf") * (preset.k1 + 1) / (F.col("tf") + preset.k1 * length + preset.eps)
-    return q.join(weighted.select("token", "p_id", part.alias("part")), "token").groupBy("query_id", "p_id").agg(F.sum(F.col("part") * F.col("qtf")).alias("bm25"))
+    return q.join(weighted.select("token", "p_id", part.alias("part")), ["token"] if pairs is None else ["token", "p_id"]).groupBy("query_id", "p_id").agg(F.sum(F.col("part") * F.col("qtf")).alias("bm25"))
 
 
 def term_counts(rows: DataFrame, key: str, text: str, preset: TfIdf) -> DataFrame:
@@ -127,10 +132,20 @@ def cosine_scores(query_vectors: DataFrame, product_vectors: DataFrame) -> DataF
     return q.join(product_vectors, "term").groupBy("query_id", "p_id").agg(F.sum(F.col("wq") * F.col("w")).alias("tfidf"))
 
 
-def tfidf_scores(queries: DataFrame, products: DataFrame, preset: TfIdf = TFIDF_INDEX, query_text: str = "query_norm", text: str = "text_norm") -> DataFrame:
-    """cosine_scores without a stored index: product weights are needed only for terms of queries, and norms of all."""
-    vocab, vectors = tfidf_fit(products, preset, text)
-    return cosine_scores(tfidf_query(queries, vocab, preset, query_text), vectors)
+def tfidf_scores(queries: DataFrame, products: DataFrame, preset: TfIdf = TFIDF_INDEX, query_text: str = "query_norm", text: str = "text_norm", key: str = "p_id", pairs: DataFrame | None = None) -> DataFrame:
+    """cosine_scores without a stored index: norms are sums over all terms, weights are made for terms of queries only. With
+    `pairs` (query_id, p_id), norms and scores of those only."""
+    counts = term_counts(products, key, text, preset)
+    vocab = vocabulary(counts, products.count(), preset)
+    q = _unit(term_counts(queries, "query_id", query_text, preset), vocab, "query_id").select("query_id", "term", F.col("w").alias("wq"))
+    if pairs is not None:
+        both = pairs.select("query_id", "p_id").distinct()
+        counts = counts.join(both.select(key).distinct(), key, "left_semi")
+        q = q.join(both, "query_id")
+    weighted = counts.join(vocab.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+    part = q.join(weighted, ["term"] if pairs is None else ["term", key]).groupBy("query_id", key).agg(F.sum(F.col("wq") * F.col("w")).alias("_s"))
+    return part.join(norm, key).select("query_id", key, (F.col("_s") / F.col("_n")).alias("tfidf"))
 
 
 def popularity(pairs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def attach_query_id(pairs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def raw_query_text(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates whose query is the raw text of its id, else what they had, else empty."""
-    names = queries.select("query_id", F.col("query_raw").alias("_raw")).dropDuplicates(["query_id"])
+    names = keep_first(queries, "query_id").select("query_id", F.col("query_raw").alias("_raw"))
     return candidates.join(names, "query_id", "left").withColumn("query", F.coalesce("_raw", "query", F.lit(""))).drop("_raw")
 
 

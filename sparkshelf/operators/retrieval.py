@@ -70,9 +70,10 @@ def serve_candidates(queries: DataFrame, products: DataFrame, k: int = 50, w_tfi
     span = bm25.withColumns({"_n": F.count("*").over(w), "_lo": F.min("bm25").over(w), "_hi": F.max("bm25").over(w)}).withColumn("_lo", low).withColumn("_hi", F.when(F.col("_n") < n, F.greatest("_hi", F.lit(0.0))).otherwise(F.col("_hi")))
     scaled = span.select("query_id", "p_id", "bm25", F.when(F.col("_hi") > F.col("_lo"), (F.col("bm25") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("bm25")).alias("_b"))
     cosine = I.tfidf_scores(queries, products, I.TFIDF_SERVE, query_text)
-    both = cosine.join(scaled, ["query_id", "p_id"], "full")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    scored = both.select("query_id", "p_id", zero("tfidf").alias("tfidf"), zero("bm25").alias("bm25"), (w_tfidf * zero("tfidf") + w_bm25 * zero("_b")).alias("score"))
+    none = F.lit(None).cast("double")
+    both = cosine.select("query_id", "p_id", "tfidf", none.alias("bm25"), none.alias("_b")).unionByName(scaled.withColumn("tfidf", none))
+    both = both.groupBy("query_id", "p_id").agg(*(F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in ("tfidf", "bm25", "_b")))
+    scored = both.select("query_id", "p_id", "tfidf", "bm25", (w_tfidf * F.col("tfidf") + w_bm25 * F.col("_b")).alias("score"))
     hits = R.top_per_group(with_place(scored, products), "query_id", "score", k).drop("rank")
     return R.top_per_group(pad(hits, queries, products, k, "score"), "query_id", "score", k)
 

@@ -66,15 +66,13 @@ def alignment_counts(aligned: DataFrame) -> DataFrame:
 
 
 def alignment_report(aligned: DataFrame, n_preds: int, most: int = 200, most_unmatched: int = 50) -> DataFrame:
-    """(ord, line) of the text report: counts, the first rows, the first unmatched queries."""
-    spark = aligned.sparkSession
-    counts = {r["strategy"]: r["n"] for r in alignment_counts(aligned).collect()}
-    total = sum(counts.values())
-    head = [f"Sample rows total: {total}", f"Predictions rows total: {n_preds}", "Match counts by strategy:", *[f"  {k}: {counts[k]}" for k in STRATEGIES if k in counts], f"Total matched: {total - counts.get('unmatched', 0)}", f"Total unmatched: {counts.get('unmatched', 0)}", f"First {most} report lines:"]
-    rows = aligned.orderBy("ord").limit(most).select(F.when(F.col("strategy").isNull(), F.format_string("ROW %d: NO MATCH FOUND for %s", "ord", "sample_query")).otherwise(F.format_string("ROW %d: %s %s -> %d", "ord", "strategy", "sample_query", "pred_ord")).alias("line")).collect()
-    lost = aligned.where("strategy is null").orderBy("ord").limit(most_unmatched).select("sample_query").collect()
-    lines = [*head, *(r[0] for r in rows), f"Unmatched queries (first {most_unmatched}):", *(r[0] for r in lost)]
-    return spark.createDataFrame(list(enumerate(lines)), "ord bigint, line string")
+    """(ord, line) of a tab-separated text report: rows by strategy, the first rows, the first queries without a prediction."""
+    counts = {r["strategy"]: r["n"] for r in alignment_counts(aligned).collect()}  # five at most
+    head = [f"aligned\t{sum(counts.values())} rows\t{n_preds} predictions", *(f"by {k}\t{counts.get(k, 0)}" for k in (*STRATEGIES, "unmatched"))]
+    show = F.concat_ws("\t", F.lit("row"), F.col("ord").cast("string"), F.coalesce("strategy", F.lit("-")), F.coalesce(F.col("pred_ord").cast("string"), F.lit("-")), "sample_query")
+    rows = aligned.orderBy("ord").limit(most).select(show.alias("line")).collect()
+    lost = aligned.where("strategy is null").orderBy("ord").limit(most_unmatched).select(F.concat_ws("\t", F.lit("unmatched"), "sample_query").alias("line")).collect()
+    return aligned.sparkSession.createDataFrame(list(enumerate([*head, *(r["line"] for r in [*rows, *lost])])), "ord bigint, line string")
 
 
 def coverage(preds: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,13 +94,17 @@ def missing_context(preds: DataFrame, sample: DataFrame, before: int = 3, after:
 def fuzzy_suggestions(missing: DataFrame, candidates: DataFrame, k: int = 5, cutoff: float = 0.6) -> DataFrame:
     """(query, candidate, ratio, rank): the k closest distinct candidates with ratio >= cutoff.
 
-    Every pair of texts within reach of the cutoff is compared: 2 * min / (la + lb) bounds the ratio by lengths, so pairs
-    meet by length. Ratios of equal value fall to the greater text, as heaps of pairs do."""
-    q = missing.select("query").distinct().withColumn("la", F.length("query")).where("la > 0")
-    c = candidates.select(F.col("query").alias("candidate")).distinct().withColumn("lb", F.length("candidate"))
+    2 * min / (la + lb) bounds the ratio by lengths, so pairs meet by length; 2 * (characters in both, repeats counted) /
+    (la + lb) bounds it too, and only pairs that pass are compared. Ratios of equal value fall to the greater text, as heaps
+    of pairs do."""
+    # The k-th occurrence of a character is a member of its own: sets of these hold repeats.
+    bag = lambda x: F.transform(F.split(x, ""), lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(F.split(x, ""), 1, i + 1), lambda y: y == ch)).cast("string")))
+    q = missing.select("query").distinct().withColumn("la", F.length("query")).where("la > 0").withColumn("qa", bag("query"))
+    c = candidates.select(F.col("query").alias("candidate")).distinct().withColumn("lb", F.length("candidate")).where("lb > 0").withColumn("ca", bag("candidate"))
     reach = (1 - cutoff / 2) / (cutoff / 2)
     lengths = q.withColumn("lb", F.explode(F.sequence(F.ceil(F.col("la") / reach).cast("int"), F.floor(F.col("la") * reach).cast("int"))))
-    scored = lengths.join(c, "lb").withColumn("ratio", T.fuzzy_ratio(F.col("candidate"), F.col("query"))).where(F.col("ratio") >= cutoff)
+    near = lengths.join(c, "lb").where(2 * F.size(F.array_intersect("qa", "ca")) >= cutoff * (F.col("la") + F.col("lb")) - 1e-9).drop("qa", "ca")
+    scored = near.withColumn("ratio", T.fuzzy_ratio(F.col("candidate"), F.col("query"))).where(F.col("ratio") >= cutoff)
     w = Window.partitionBy("query").orderBy(F.col("ratio").desc(), F.col("candidate").desc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "candidate", "ratio", "rank")
 

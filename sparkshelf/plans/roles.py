@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as products: ord, p_id, title (its first 80 characters), category, brand, attributes (its first line), text."""
+    """documents as products: ord, p_id, title, category, brand, attributes, text. A document has no title, so its first 80
+    characters stand for one, and its first line for attributes: a fixture's shape, beside the whole text."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("ord"),
@@ -27,9 +28,14 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products_norm(spark: SparkSession, sf_dir: str, how: C.Preparation = C.Preparation()) -> DataFrame:
-    """products with the normalised columns that indexes and features need, kept in memory and on disk as several scans follow."""
+    """products with the normalised columns of indexes and features; only those asked for are computed."""
     p = products(spark, sf_dir)
-    return p.withColumns({"text_norm": how.norm("text"), "title_norm": how.norm("title"), "brand_norm": how.norm("brand"), "attributes_norm": how.norm("attributes"), "attributes_list": C.A.split_attributes("attributes")}).persist()
+    return p.withColumns({"text_norm": how.norm("text"), "title_norm": how.norm("title"), "brand_norm": how.norm("brand"), "attributes_norm": how.norm("attributes"), "attributes_list": C.A.split_attributes("attributes")})
+
+
+def products_text(spark: SparkSession, sf_dir: str, how: C.Preparation = C.Preparation()) -> DataFrame:
+    """ord, p_id and text_norm of products, kept in memory and on disk, as the scans of one retrieval query follow each other."""
+    return products(spark, sf_dir).select("ord", "p_id", how.norm("text").alias("text_norm")).persist()
 
 
 def queries(spark: SparkSession, sf_dir: str, how: C.Preparation = C.Preparation()) -> DataFrame:
@@ -38,13 +44,6 @@ def queries(spark: SparkSession, sf_dir: str, how: C.Preparation = C.Preparation
     return b.select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("query_raw"), how.norm("text").alias("query_norm"))
 
 
-def short_queries(spark: SparkSession, sf_dir: str, n: int = 4, how: C.Preparation = C.Preparation()) -> DataFrame:
-    """The first n words of each benchmark item: queries of the usual length."""
-    q = queries(spark, sf_dir, how)
-    cut = lambda c: F.array_join(F.slice(F.split(c, "[ \n]+"), 1, n), " ")
-    return q.select("ord", "query_id", cut("query").alias("query"), cut("query_raw").alias("query_raw")).withColumn("query_norm", how.norm("query"))
-
-
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, query, p_id) of orders: the customer as query, the part as product."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -53,6 +52,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, p_id): documents that share the source and quality label 1 with the item number, a fixed relevance for tests."""
+    """(query_id, p_id): documents of quality label 1, dealt to 40 queries by number: a fixed relevance for tests."""
     lab = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     return lab.select((F.col("doc_id") % 40).cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("p_id"))

@@ -7,6 +7,8 @@ readers add `ord`, the row's place in the input: 0-based and dense (`with_ord`).
 from __future__ import annotations
 
 import codecs
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,31 @@ def strip_header(df: DataFrame) -> DataFrame:
 
 
 def with_ord(df: DataFrame, name: str = "ord") -> DataFrame:
-    """df with its 0-based row number. Two passes: rows of each partition are counted, then numbered; nothing is shuffled."""
+    """df with its 0-based row number, in the JVM. Two passes: rows of each partition are counted, then numbered from the count
+    of those before; nothing is shuffled."""
     if name in df.columns:
         return df
-    schema = st.StructType([*df.schema.fields, st.StructField(name, st.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    tagged = df.withColumn("_row", F.monotonically_increasing_id())
+    part = F.shiftright("_row", 33)
+    before, total = {}, 0
+    for r in tagged.groupBy(part.alias("part")).count().orderBy("part").collect():  # a number for each partition
+        before[r["part"]] = total
+        total += r["count"]
+    if not before:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "_part bigint, _before bigint")
+    numbered = tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; only a session on one machine may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = 4096) -> bytes:
@@ -168,7 +190,7 @@ def write_csv(df: DataFrame, path: str, order: str | None = "ord", single: bool
     """One CSV with header, quoted where needed, in order. `single=False` keeps a sorted file for each partition."""
     if order and order in df.columns:
         df = df.orderBy(order).drop(order)
-    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, quoteAll=False, escape='"', emptyValue="").csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, quoteAll=False, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

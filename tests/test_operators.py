@@ -132,7 +132,8 @@ def test_align_matches_greedy(spark):
     got = sorted((x.ord, x.strategy, x.pred_ord) for x in Q.align(p, s).collect())
     assert got == greedy(preds, sample)
     report = Q.alignment_report(Q.align(p, s), len(preds)).collect()
-    assert report[0].line == "Sample rows total: 30"
+    assert report[0].line == "aligned\t30 rows\t14 predictions" and sum(r.line.startswith("row\t") for r in report) == 30
+    assert sum(int(r.line.split("\t")[1]) for r in report if r.line.startswith("by ")) == 30
 
 
 def test_submission_checks(spark):
