@@ -151,29 +151,39 @@ def drop_punctuation(col, keep: str = "") -> Column:
 _FAR, _NEAR_FOLDS = r"[^\x00-\x{2FF}]", r"[\xB5\xDF\x{149}\x{17F}\x{1F0}]"
 
 
-def normalize(col, how: Normalizer = Normalizer()) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it (the optimizer copies it otherwise)."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def normalize(col, how: Normalizer = Normalizer(), digits: bool = False) -> Column:
     """The normaliser: null is empty; NFC, letters, marks, zero-width, punctuation, case, digits, white space, in this order.
 
-    A text without a character from U+0300 on needs the last steps only, and whether it has one is a single quick scan."""
+    A text without a character from U+0300 on needs the last steps only, and whether it has one is a single quick scan.
+    `digits`: digits are mapped first, whatever the options say (no digit takes part in NFC)."""
     col = F.coalesce(c_(col), F.lit(""))
     if how.legacy:
-        return normalize_legacy(col, how)
-    far = col.rlike(_FAR)
+        return normalize_legacy(map_digits(col) if digits else col, how)
     compose = F.pandas_udf(_compose, st.StringType())
-    x = F.coalesce(compose(F.when(far & col.rlike(_MAY_COMPOSE), col)), col)
-    if how.map_chars:
-        x = map_letters(x)
-    x = F.regexp_replace(x, DIACRITICS, "")
-    x = delete(x, TATWEEL + ZERO_WIDTH)
-    if how.remove_punct:
-        x = drop_punctuation(x, how.keep_punct)
-    x = casefold(x, col)
-    if how.map_digits:
-        x = map_digits(x)
+    composed = F.coalesce(compose(F.when(col.rlike(_FAR) & col.rlike(_MAY_COMPOSE), col)), col)
     # Punctuation and white space side by side become one space, so one pass does for both.
     gap = f"[^{WORD}{ARABIC}{keep_class(how.keep_punct)}]+" if how.remove_punct else f"[{WHITE}]+"
-    near = F.when(col.rlike(_NEAR_FOLDS), casefold(col)).otherwise(F.lower(col))
-    return F.when(far, collapse(x)).otherwise(F.trim(F.regexp_replace(near, gap, " ")))
+
+    def far(x: Column) -> Column:
+        if how.map_digits or digits:
+            x = map_digits(x)
+        if how.map_chars:
+            x = map_letters(x)
+        x = delete(F.regexp_replace(x, DIACRITICS, ""), TATWEEL + ZERO_WIDTH)
+        if how.remove_punct:
+            x = drop_punctuation(x, how.keep_punct)
+        return collapse(let(x, casefold))
+
+    def near(x: Column) -> Column:
+        # Folds may give marks, so gaps go first.
+        return let(F.trim(F.regexp_replace(x, gap, " ")), lambda y: F.when(y.rlike(_NEAR_FOLDS), casefold(y)).otherwise(F.lower(y)))
+
+    return let(composed, lambda x: F.when(x.rlike(_FAR), far(x)).otherwise(near(x)))
 
 
 def normalize_legacy(col, how: Normalizer = Normalizer()) -> Column:
@@ -189,12 +199,9 @@ def normalize_legacy(col, how: Normalizer = Normalizer()) -> Column:
 def normalize_text(col, how: Normalizer = Normalizer(), digits: bool = True, strip_zwnj: bool = False, remove_punct: bool | None = None) -> Column:
     """`normalize` after the optional digit map and zero-width removal. An explicit `remove_punct` uses a default normaliser."""
     col = F.coalesce(c_(col), F.lit(""))
-    # A text without the characters isn't walked through the map.
-    if digits:
-        col = F.when(col.rlike(f"[{PERSIAN_DIGITS}{ARABIC_DIGITS}]"), map_digits(col)).otherwise(col)
     if strip_zwnj:
-        col = F.when(F.contains(col, F.lit("‌")), delete(col, "‌")).otherwise(col)
-    return normalize(col, how if remove_punct is None else Normalizer(remove_punct=remove_punct))
+        col = delete(col, "‌")
+    return normalize(col, how if remove_punct is None else Normalizer(remove_punct=remove_punct), digits)
 
 
 # Tokens
@@ -217,8 +224,12 @@ def tokens_vectorizer(col) -> Column:
 
 def ngrams(words: Column) -> Column:
     """Words and space-joined pairs of neighbours."""
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+
+    def both(w: Column) -> Column:
+        less = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, less), F.slice(w, 2, less), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return let(words, both)
 
 
 #: Model names: letters with two digits or more, digits with letters, or letters joined to digits by a mark.

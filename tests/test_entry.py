@@ -4,6 +4,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -13,9 +15,10 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_without_llm(tmp_path):
-    """The rest imports and registers its queries where the llm folders and the pipeline are gone."""
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_without_llm(tmp_path, gone):
+    """The rest imports and registers its queries where the llm folders are gone, with the pipeline or without."""
     to = tmp_path / "repo"
-    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=to, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) > 60, out.stderr

@@ -112,3 +112,19 @@ def test_stem_hook(spark):
 def test_normalize_is_stable(spark, texts):
     once = column(spark, texts, T.normalize)
     assert all(x == x.strip() and "  " not in x for x in once)
+
+
+def test_far_and_near_texts_fold_alike(spark):
+    """Texts with a character from U+0300 on take the long way; both ways fold, map and collapse as the rules say."""
+    rows = ["Straße 1", "Straße ۱", "ΟΔΟΣ ß ﬁ", "Ǆ µ ſ ŉ ǰ İ", "a\u0301-B،c\u200cd", "x!!  ?y", "کِتابٌ عربي ٣", "", None, " \t\n", "e\u0301É"]
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(T.normalize_text("t").alias("n")).collect()]
+
+    def brute(t):
+        t = (t or "").translate(str.maketrans(T.PERSIAN_DIGITS + T.ARABIC_DIGITS, "0123456789" * 2))
+        t = unicodedata.normalize("NFC", t)
+        t = t.translate(str.maketrans("آأإىيئكؤ", "اااییی" + "کو", "ءـ"))
+        t = re.sub("[\u0610-\u061a\u064b-\u065f\u06d6-\u06ed\u08d4-\u08e1\u200c\u200d]", "", t)
+        t = re.sub(r"[^\w\s\u0600-\u06ff]", " ", t).casefold()
+        return " ".join(t.split())
+
+    assert got == [brute(t) for t in rows]
