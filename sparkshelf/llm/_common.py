@@ -407,8 +407,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     lie. Small stars start within batches, so a node's links are few once dealt.
     """
     spark = edges.sparkSession
-    n = max(2, n_buckets(spark) // 2)
-    by_node = lambda x: x.repartition(n, "u").sortWithinPartitions("u", "v")
+    most = max(2, n_buckets(spark) // 2)
+    # Few links need few tasks: 20,000 or more for each.
+    by_node = lambda x, links: x.repartition(max(2, min(most, links // 20_000)), "u").sortWithinPartitions("u", "v")
     ddl = "u bigint, v bigint"
 
     def digest(x: DataFrame) -> tuple[tuple, np.ndarray]:
@@ -424,13 +425,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     pairs, path = table(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")))
     before, hubs = digest(pairs)
     for _ in range(most_rounds if before[0] else 0):
-        large = by_node(pairs.mapInArrow(_both_ways(hubs), ddl)).mapInArrow(_stars(True), ddl)
+        large = by_node(pairs.mapInArrow(_both_ways(hubs), ddl), 2 * before[0]).mapInArrow(_stars(True), ddl)
         if len(hubs):
             low = {r["node"]: r["low"] for r in pairs.mapInArrow(_hub_minima(hubs), "node bigint, low bigint").groupBy("node").agg(F.min("low").alias("low")).collect()}
             least = np.minimum(hubs, np.array([low[h] for h in hubs.tolist()], np.int64))
             large = large.unionByName(pairs.mapInArrow(_hub_stars(hubs, least), ddl))
         old = path
-        pairs, path = table(by_node(large.mapInArrow(_near_stars, ddl)).mapInArrow(_stars(False), ddl))
+        pairs, path = table(by_node(large.mapInArrow(_near_stars, ddl), before[0]).mapInArrow(_stars(False), ddl))
         remove(spark, old)
         after, hubs = digest(pairs)
         if before == after:

@@ -116,13 +116,12 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         some = np.flatnonzero((sig == empty).any(axis=1))
         if len(some):
             full = sig[some]
-            mine = full.copy()
-            for step in range(1, BINS):
-                hole = mine == empty
-                if not hole.any():
-                    break
-                moved = np.roll(full, -step, axis=1)
-                mine = np.where(hole & (moved != empty), moved + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF), mine)
+            # The next full bin of each, round the end; a line without a shingle has none.
+            there = np.where(np.concatenate([full, full], axis=1) != empty, np.arange(2 * BINS), 2 * BINS)
+            there = np.minimum.accumulate(there[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+            step = there - np.arange(BINS)
+            mine = np.take_along_axis(full, there % BINS, axis=1) + (step * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)
+            mine[there[:, 0] == 2 * BINS] = empty
             sig[some] = mine
         out = c.mix(out * U64(0xA0761D6478BD642F) + sig.astype(np.uint64))
     return out
@@ -468,7 +467,8 @@ def line_links(docs: DataFrame) -> DataFrame:
     sets = c.deal(blocks, n).sortWithinPartitions("bucket").mapInArrow(_sets, "set bigint, members binary, sizes binary")
     members = c.cut(sets.groupBy("set").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes")).mapInArrow(_memberships, "line bigint, task bigint"))
     shared = spark.sparkContext.broadcast(c.bloom(members.select("line").distinct(), BLOOM_BYTES))
-    bodies = texts.mapInArrow(_active_texts(shared), "line bigint, body binary").groupBy("line").agg(F.first("body").alias("body"))
+    # Dealt before they are grouped: a task sends a line once, so there is little to combine on the map side.
+    bodies = texts.mapInArrow(_active_texts(shared), "line bigint, body binary").repartition("line").groupBy("line").agg(F.first("body").alias("body"))
     tasks = members.join(bodies, "line").select("task", "line", "body")
     return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify, "a bigint, b bigint")
 
@@ -477,14 +477,15 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, number) of every line to remove, once."""
     rows = docs.select("doc_id", c.row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     places = c.cut(rows.mapInArrow(_places, f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, number int"))
-    # One row for each distinct line: its first place and how many it has.
-    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "row_key", "number")).alias("at"), F.count("*").alias("n"))
+    # Lines that occur once and are near no other stay, and take no further part.
+    twice = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
     member = c.components(line_links(docs))
-    keyed = first.join(member, first["line"] == member["node"], "left").select("line", "at", "n", F.coalesce("root", "line").alias("root"))
-    groups = keyed.groupBy("root").agg(F.min("at").alias("kept"), F.sum("n").alias("total")).where("total > 1")
-    # Lines of which some place goes: few, beside those that occur once.
-    repeated = keyed.join(groups, "root").select("line", "kept")
-    return places.join(repeated, "line").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key")) & (F.col("number") == F.col("kept.number")))).select("doc_id", "row_key", "number").distinct()
+    active = c.cut(twice.join(member, twice["line"] == member["node"], "full").select(F.coalesce("line", "node").alias("line"), F.coalesce("root", "line").alias("root")))
+    place = F.struct("doc_id", "row_key", "number")
+    kept = places.join(active, "line").groupBy("root").agg(F.min(place).alias("kept"))
+    # By line, not by component: the places are dealt in the same way for both joins, and a frequent line's can be split.
+    fate = active.join(kept, "root").select("line", "kept")
+    return places.join(fate, "line").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key")) & (F.col("number") == F.col("kept.number")))).select("doc_id", "row_key", "number").distinct()
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
