@@ -50,7 +50,7 @@ HASHES, BINS = 5, 18
 #: Lines of so many different shingles sign half of them.
 FEW = 64
 #: Bytes of text in hand while signing: small enough for the cache of a core.
-SLICE = 1 << 17
+SLICE = 1 << 18
 CHUNK, CHUNK_BYTES = 2048, 4 << 20
 #: Text in hand while comparing.
 VERIFY_BYTES = 1 << 20
@@ -109,7 +109,7 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     empty = np.uint32(0xFFFFFFFF)
     base = (line * BINS).astype(np.int64)
     for f in range(HASHES):
-        part = (h * _SEEDS[f] >> U64(32)).astype(np.uint32)
+        part = (h * _SEEDS[f]).view(np.uint32)[1::2].copy()  # the upper halves
         sig = np.full(n * BINS, empty, np.uint32)
         np.minimum.at(sig, base + ((part & np.uint32(4095)) * np.uint32(BINS) >> np.uint32(12)), part >> np.uint32(12))
         sig = sig.reshape(n, BINS)
@@ -233,7 +233,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(keys: list[bytes], lines: list[bytes], sizes: list[bytes]):
         k, who, long = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(lines), np.uint64), np.frombuffer(b"".join(sizes), np.uint8)
-        order = np.lexsort((who, k))
+        # By band value, then by the upper half of the line's hash: one sort of 64-bit keys. Lines of equal halves (one in 2^32) may
+        # stand in any order; then a member may come twice, which costs time only.
+        order = np.argsort(k.astype(np.uint64) << U64(32) | who >> U64(32))
         k, who, long = k[order], who[order], long[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (who[1:] != who[:-1])
@@ -465,7 +467,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     blocks = texts.mapInArrow(_band_blocks(n), "bucket int, keys binary, lines binary, sizes binary")
     sets = c.deal(blocks, n).sortWithinPartitions("bucket").mapInArrow(_sets, "set bigint, members binary, sizes binary")
-    members = c.cut(sets.groupBy("set").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes")).mapInArrow(_memberships, "line bigint, task bigint"))
+    members = c.cut(sets.repartition("set").groupBy("set").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes")).mapInArrow(_memberships, "line bigint, task bigint"))
     shared = spark.sparkContext.broadcast(c.bloom(members.select("line").distinct(), BLOOM_BYTES))
     # Dealt before they are grouped: a task sends a line once, so there is little to combine on the map side.
     bodies = texts.mapInArrow(_active_texts(shared), "line bigint, body binary").repartition("line").groupBy("line").agg(F.first("body").alias("body"))
