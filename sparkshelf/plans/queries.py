@@ -767,6 +767,22 @@ def m3_ranker(spark, sf):
     return M.predict_and_rank(model, x, ["bm25", "len"])
 
 
+@query(None)
+def m3_lambda_ranker(spark, sf):
+    """Pairs weighted by their NDCG change; the validation queries end the rounds."""
+    x = _labeled(spark, sf).withColumn("len", F.length("p_id")).persist()  # read by every round
+    train, validation = M.split_by_query(x)
+    model, _ = M.train_lambda_ranker(train, validation, ["bm25", "len"], rounds=2)
+    return M.predict_and_rank(model, x, ["bm25", "len"])
+
+
+@query(f"""with {PN}, {QN}, {bm25_(I.INDEX, 'b')}, a as materialized (select query_id, round(bm25, 6) as s from {top_(PLACED.format('b'), 'bm25', 50)})
+select count(*) as n, round(avg(s), 4) as mean, round(stddev_pop(s), 4) as std, round(min(s), 4) as min, round(max(s), 4) as max, count(distinct s) as unique_scores, count(distinct query_id) as n_queries, (select count(*) from (select query_id from a group by query_id having min(s) = max(s))) as flat_queries from a""")
+def m11_score_stats(spark, sf):
+    d = M.score_diagnostics(_ranked(spark, sf).withColumn("score", F.round("score", 6)))
+    return d.withColumns({n: F.round(n, 4) for n in ("mean", "std", "min", "max")})
+
+
 @query(None)
 def m4_classifier(spark, sf):
     x = _labeled(spark, sf).withColumn("len", F.length("p_id"))
