@@ -8,8 +8,10 @@ the raw UTF-8 buffer of a slice of a batch, so its memory is bounded by
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -191,6 +193,14 @@ def remove(spark: SparkSession, path: str) -> None:
     to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more (as after `cut`) go now; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # what the first round sets free holds more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def n_buckets(spark: SparkSession, times: int = 2) -> int:
     """Buckets of a hash-partitioned exchange: they follow spark.sql.shuffle.partitions, which follows the input."""
     return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

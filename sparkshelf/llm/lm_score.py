@@ -11,12 +11,14 @@ n(uw) comes from the filter and is never above the exact counts of u and w (whic
 also rejects most false positives); c(w), c(u), N and V are exact.
 
 Scale. n-grams leave the map side as sorted binary blocks, pre-aggregated for
-every 16 MB of text and hash-partitioned into buckets, so the shuffle holds 8
-bytes and a compressed count for each. Each bucket becomes one block of the
-filter. Where all blocks and the unigram table stay within `broadcast_bytes`
-(checked after they are built), they are broadcast and texts are scored in place.
-Beyond that, `_score_by_join` probes every block where it lies and joins the
-counts back; scores are the same.
+every 16 MB of text. A bucket is a range of hashes, so a block holds the steps
+between neighbours: about 4 bytes a pair (of 48 bits of hash) and one for its
+count. Each bucket becomes one block of the filter. Where all blocks and the
+unigram table stay within `broadcast_bytes` (checked after they are built), they
+are broadcast and texts are scored in place. Beyond that, `_score_dealt` deals
+texts into chunks; a chunk's distinct words and pairs, coded in the same way, ask
+every bucket where it lies, and counts and levels come back in order, a byte or so
+each. Scores are the same.
 
 Nulls: a null text is empty (one end token). Repeated rows are scored and, where
 trained on, counted each. An empty table gives an empty result. Other columns of
@@ -28,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ ALPHA, MU, LOG_BASE = 0.1, 5.0, 2.0
 BITS_PER_ITEM, PROBES = 10, 7
 BROADCAST_BYTES = 192 << 20
 FLUSH_WORDS = 3_000_000
+CHUNK_BYTES = 8 << 20
+#: Answers are looked up for so many hashes at once.
+ASK = 1 << 20
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,11 +65,44 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pair(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return c.mix(prev * U64(0xA0761D6478BD642F) + word)
+    """Hash of each pair in the upper 48 bits: one in 200,000 pairs shares its with another at 10^9 pairs, where one in 100 probes of the filter is a false positive."""
+    return c.mix(prev * U64(0xA0761D6478BD642F) + word) & U64(0xFFFFFFFFFFFF0000)
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> U64(40)) % U64(n)).astype(np.int64)
+    """Buckets are ranges: of sorted hashes, each bucket's stand together."""
+    return (((h >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes: a mask of the byte places that any of them fills, then each such place of all."""
+    filled = int(np.bitwise_or.reduce(x)) if len(x) else 0
+    at = [k for k in range(8) if filled >> 8 * k & 255] or [0]
+    return bytes([sum(1 << k for k in at)]) + x.view(np.uint8).reshape(-1, 8).T[at].tobytes()
+
+
+def _from_planes(body: bytes) -> np.ndarray:
+    at = [k for k in range(8) if body[0] >> k & 1]
+    planes = np.frombuffer(body, np.uint8, offset=1).reshape(len(at), -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, at] = planes.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _pack(h: np.ndarray) -> bytes:
+    """Sorted hashes, one at least: the first, and the steps from each to the next."""
+    return h[:1].tobytes() + _planes(np.diff(h))
+
+
+def _unpack(body: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(body, np.uint64, 1), _from_planes(body[8:])]), dtype=np.uint64)
+
+
+def _cuts(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(bucket, (first, last + 1)) of every bucket's part of sorted hashes."""
+    b = _bucket(h, n_buckets)
+    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    return b[first], list(zip(first.tolist(), np.append(first[1:], len(b)).tolist()))
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +119,9 @@ def _count_blocks(n_buckets: int):
         def flush():
             for kind, parts in held.items():
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
-                b = _bucket(h, n_buckets)
-                order = np.argsort(b, kind="stable")
-                h, n, b = h[order], n[order].astype(np.uint32), b[order]
-                cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                ends = np.append(cuts[1:], len(b))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(b[cuts], pa.int32()), "kind": pa.array(np.full(len(cuts), kind), pa.int32()), "h": pa.array([h[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())})
+                b, cuts = _cuts(h, n_buckets)
+                n = n.astype(np.uint64)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "kind": pa.array(np.full(len(b), kind), pa.int32()), "h": pa.array([_pack(h[i:j]) for i, j in cuts], pa.binary()), "n": pa.array([_planes(n[i:j]) for i, j in cuts], pa.binary())})
                 parts.clear()
 
         for _, data, offs in c.slices(batches, "text"):
@@ -124,7 +158,7 @@ def _reduce_blocks(base: float):
     """Rows come sorted by bucket and kind. Unigrams: exact sorted hashes and counts. Pairs: a block of the filter."""
 
     def done(bucket: int, kind: int, hs: list[bytes], ns: list[bytes]) -> pa.RecordBatch:
-        h, n = _summed(np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(ns), np.uint32).astype(np.int64))
+        h, n = _summed(np.concatenate([_unpack(x) for x in hs]), np.concatenate([_from_planes(x) for x in ns]).astype(np.int64))
         body = h.tobytes() if kind == 1 else _filter_block(h, n, base)
         return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32()), "body": pa.array([body], pa.binary()), "n": pa.array([n.tobytes() if kind == 1 else None], pa.binary()), "items": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64())})
 
@@ -227,74 +261,123 @@ def token_logs(n_pair, n_word, n_prev, total: float, vocab: float, mu: float):
     return np.log10(p1), np.log10((np.minimum(n_pair, np.minimum(n_word, n_prev)) + mu * p1) / (n_prev + mu))
 
 
-def _score_batches(shared, total: int, vocab: int, n_docs: int, mu: float):
+def _sums(ids, held_out, row, prev, n_word, n_pair, total: int, vocab: int, n_docs: int, mu: float) -> pa.RecordBatch:
+    """A row of results for each text, from what is known of each of its tokens."""
+    n_prev = np.empty_like(n_word)
+    n_prev[1:] = n_word[:-1]
+    n_prev[prev == BEGIN] = n_docs
+    one, two = token_logs(n_pair, n_word, n_prev, total, vocab, mu)
+    n = len(ids)
+    return pa.RecordBatch.from_arrays(
+        [ids, held_out, pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(np.bincount(row, n_word > 0, n).astype(np.int64)), pa.array(np.bincount(row, one, n)), pa.array(np.bincount(row, two, n))],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+    )
+
+
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _score_batches(shared, *stats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for rows, data, offs in c.slices(batches, "text"):
             tok, row, prev = _tokens(data, offs)
             words, where = np.unique(tok, return_inverse=True)
-            n_word = m.counts(words)[where]
-            n_prev = np.empty_like(n_word)
-            n_prev[1:] = n_word[:-1]
-            n_prev[prev == BEGIN] = n_docs
             pairs, back = np.unique(_pair(prev, tok), return_inverse=True)
-            n_pair = expected(m.levels(pairs), m.base)[back]
-            one, two = token_logs(n_pair, n_word, n_prev, total, vocab, mu)
-            n = rows.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(np.bincount(row, n_word > 0, n).astype(np.int64)), pa.array(np.bincount(row, one, n)), pa.array(np.bincount(row, two, n))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            yield _sums(rows.column(0), rows.column(1), row, prev, m.counts(words)[where], expected(m.levels(pairs), m.base)[back], *stats)
 
     return run
 
 
-def _emit_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offs in c.slices(batches, "text", 1 << 19):
+def _chunk_tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_tokens` of all rows of a chunk."""
+    parts, n = [], 0
+    for part, data, offs in c.slices(rows.to_batches(), "text"):
         tok, row, prev = _tokens(data, offs)
-        key = rows.column(0).to_numpy(zero_copy_only=False)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.signed(tok)), pa.array(c.signed(prev)), pa.array(c.signed(_pair(prev, tok)))], names=["key", "word", "prev", "pair"])
+        parts.append((tok, row + n, prev))
+        n += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _probe_bucket(n_buckets: int, base: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        h = right["pair"].to_numpy(np.int64)
-        if not len(left):
-            return pd.DataFrame({"pair": h, "n_pair": np.zeros(len(h))})
-        m = Model([{"kind": 2, "bucket": int(left["bucket"].iloc[0]), "body": left["body"].iloc[0]}], n_buckets, base, 0, len(left["body"].iloc[0]))
-        return pd.DataFrame({"pair": h, "n_pair": expected(m.levels(h.view(np.uint64)), base)})
+def _ask(n_buckets: int):
+    """The distinct words (kind 1) and pairs (kind 2) of a chunk, a row for each bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tok, _, prev = _chunk_tokens(rows)
+        chunk, out = rows.column("chunk")[0].as_py(), {"bucket": [], "kind": [], "chunk": [], "h": []}
+        for kind, h in ((1, np.unique(tok)), (2, np.unique(_pair(prev, tok)))):
+            b, cuts = _cuts(h, n_buckets)
+            out["bucket"] += b.tolist()
+            out["kind"] += [kind] * len(b)
+            out["chunk"] += [chunk] * len(b)
+            out["h"] += [_pack(h[i:j]) for i, j in cuts]
+        return pa.table(out, pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int32()), ("h", pa.binary())]))
 
     return run
 
 
-def _explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["w", "n"])
-
-
-def _score_by_join(docs: DataFrame, blocks: DataFrame, n_buckets: int, base: float, total: int, vocab: int, n_docs: int, mu: float) -> DataFrame:
-    """Scores where the model is too large to broadcast: every distinct pair probes the filter block of its bucket where
-    that lies, and exact counts join by hash. Rows are keyed by a hash of id and text; equal rows have equal scores."""
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    tokens = keyed.select("key", "text").distinct().mapInArrow(_emit_tokens, "key bigint, word bigint, prev bigint, pair bigint").groupBy("key", "word", "prev", "pair").agg(F.count("*").alias("times"))
-    bucket = F.expr(f"cast(pmod(shiftrightunsigned(pair, 40), {n_buckets}) as int)")
-    pairs = tokens.select("pair").distinct().withColumn("bucket", bucket)
-    filters = blocks.where("kind = 2").select("bucket", "body")
-    found = filters.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInPandas(_probe_bucket(n_buckets, base), "pair bigint, n_pair double")
-    words = blocks.where("kind = 1").select("body", "n").mapInArrow(_explode_words, "w bigint, n bigint")
-    begin = int(BEGIN.view(np.int64))
-    got = (
-        tokens.join(found, "pair")
-        .join(words.select(F.col("w").alias("word"), F.col("n").alias("n_word")), "word", "left")
-        .join(words.select(F.col("w").alias("prev"), F.col("n").alias("n_prev")), "prev", "left")
-        .withColumn("n_word", F.coalesce("n_word", F.lit(0)))
-        .withColumn("n_prev", F.when(F.col("prev") == begin, F.lit(n_docs)).otherwise(F.coalesce("n_prev", F.lit(0))))
-    )
-    p1 = (F.col("n_word") + ALPHA) / (total + ALPHA * (vocab + 1))
-    p2 = (F.least("n_pair", F.least("n_word", "n_prev").cast("double")) + mu * p1) / (F.col("n_prev") + mu)
-    sums = got.groupBy("key").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("n_word") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.log10(p1) * F.col("times")).alias("base_score"), F.sum(F.log10(p2) * F.col("times")).alias("score"))
-    return keyed.drop("text").join(sums, "key").drop("key")
+def _answer(n_buckets: int, base: float):
+    """Rows come sorted by bucket and kind, the model's block before what chunks ask of it. Counts of words, levels of pairs, in the order asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, model, asked, size = None, None, [], 0
+
+        def flush():
+            h = np.concatenate([x for _, x in asked])
+            got = (model.counts(h) if key[1] == 1 else model.levels(h)).astype(np.uint64)
+            ends = np.cumsum([len(x) for _, x in asked])
+            body = [_planes(x) for x in np.split(got, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in asked], pa.int32()), pa.array([key[1]] * len(asked), pa.int32()), pa.array([key[0]] * len(asked), pa.int32()), pa.array(body, pa.binary())], names=["chunk", "kind", "bucket", "body"])
+            asked.clear()
+
+        for batch in batches:
+            for b, k, chunk, h, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (b, k) != key:
+                    if asked:
+                        yield from flush()
+                    key, size = (b, k), 0
+                    # A bucket without a block holds nothing that was learned.
+                    model = Model([] if chunk >= 0 else [{"bucket": b, "kind": k, "body": h, "n": n}], n_buckets, base, len(h) // 8 if k == 1 and chunk < 0 else 0, len(h) if k == 2 and chunk < 0 else 0)
+                if chunk >= 0:
+                    asked.append((chunk, _unpack(h)))
+                    size += len(asked[-1][1])
+                    if size >= ASK:
+                        yield from flush()
+                        size = 0
+        if asked:
+            yield from flush()
+
+    return run
+
+
+def _score_chunk(base: float, *stats):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        tok, row, prev = _chunk_tokens(rows)
+        words, where = np.unique(tok, return_inverse=True)
+        pairs, back = np.unique(_pair(prev, tok), return_inverse=True)
+        # Buckets are ranges, so the answers of one bucket after the other are in the order of the sorted hashes.
+        got = sorted(zip(*(answers.column(x).to_pylist() for x in ("kind", "bucket", "body"))))
+        n_word, level = (np.concatenate([_from_planes(x) for k, _, x in got if k == kind]).astype(np.int64) for kind in (1, 2))
+        if len(n_word) != len(words) or len(level) != len(pairs):
+            raise RuntimeError("a chunk's answers don't fit what it asked")
+        rows = rows.combine_chunks()
+        ids, held_out = (rows.column(x).chunk(0) for x in ("doc_id", "held_out"))
+        return pa.Table.from_batches([_sums(ids, held_out, row, prev, n_word[where], expected(level, base)[back], *stats)])
+
+    return run
+
+
+def _score_dealt(rows: DataFrame, blocks: DataFrame, n_buckets: int, base: float, *stats) -> DataFrame:
+    """Scores where the model is too large to broadcast. Texts are dealt into chunks of about `CHUNK_BYTES` by a hash of id
+    and text, once for both uses; what a chunk asks and is answered follows from its rows alone, in whatever order they come."""
+    n = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES + 1
+    c.free_shuffles(rows.sparkSession)  # those of training
+    dealt = c.deal(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n, "chunk")
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(n_buckets), "bucket int, kind int, chunk int, h binary")
+    model = blocks.select("bucket", "kind", F.lit(-1).alias("chunk"), F.col("body").alias("h"), "n")
+    met = c.deal(model.unionByName(asked.withColumn("n", F.lit(None).cast("binary"))), n_buckets).sortWithinPartitions("bucket", "kind", "chunk")
+    answers = met.mapInArrow(_answer(n_buckets, base), "chunk int, kind int, bucket int, body binary")
+    return dealt.groupBy("chunk").cogroup(c.deal(answers, n, "chunk").groupBy("chunk")).applyInArrow(_score_chunk(base, *stats), _SCORES)
 
 
 def score(docs: DataFrame, learn_from, base: float = LOG_BASE, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -308,9 +391,9 @@ def score(docs: DataFrame, learn_from, base: float = LOG_BASE, mu: float = MU, b
     if vocab * 12 + (sizes[2]["bytes"] if 2 in sizes else 0) <= broadcast_bytes:
         # Block by block, so that the driver holds the model once.
         model = docs.sparkSession.sparkContext.broadcast(Model(blocks.toLocalIterator(), n, base, vocab, sizes[2]["bytes"] if 2 in sizes else 0))
-        out = rows.mapInArrow(_score_batches(model, total, vocab, n_docs, mu), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        out = rows.mapInArrow(_score_batches(model, total, vocab, n_docs, mu), _SCORES)
     else:
-        out = _score_by_join(rows, blocks, n, base, total, vocab, n_docs, mu)
+        out = _score_dealt(rows, blocks, n, base, total, vocab, n_docs, mu)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
