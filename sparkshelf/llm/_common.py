@@ -8,6 +8,7 @@ the raw UTF-8 buffer of a slice of a batch, so its memory is bounded by
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+_LIBC = ctypes.CDLL(None) if os.name == "posix" else None
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
@@ -122,6 +124,13 @@ def span_hashes(data: np.ndarray, inside: np.ndarray | None, starts: np.ndarray,
     return mix(sums + (ends - starts).astype(np.uint64) * _MULT)
 
 
+def trim() -> None:
+    """Hands this process's freed memory back to the system, where the C library can; workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def words_of(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, row) of every contract word, A-Z lower-cased."""
     data = LOWER[data] if lower else data

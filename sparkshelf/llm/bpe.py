@@ -37,6 +37,7 @@ from . import _common as c
 
 LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3
 CACHE = 200_000
+SLICE_BYTES = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -179,12 +180,14 @@ class Codec:
         self.byte_rank = [ranks[bytes([b])] for b in range(256)]
         #: Rank of what two entries give side by side, where that is an entry too.
         self.pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.cache: dict[bytes, list[int]] = {}
+        #: One object for each id, which all that is remembered shares.
+        self.ids = list(range(max(ranks.values()) + 1))
+        self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def merge(self, word: bytes) -> list[int]:
+    def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of a pre-token outside the vocabulary: the pair of least rank (leftmost first) merges until none is left."""
         get, n = self.pairs.get, len(word)
         bits = n.bit_length()
@@ -213,9 +216,10 @@ class Codec:
                 behind = get((part[h], r))
                 if behind is not None:
                     push(heap, behind << bits | h)
-        return [p for p in part if p >= 0]
+        ids = self.ids
+        return tuple([ids[p] for p in part if p >= 0])
 
-    def encode_distinct(self, tokens: list[bytes], hashes: np.ndarray) -> list[list[int]]:
+    def encode_distinct(self, tokens: list[bytes], hashes: np.ndarray) -> list[tuple[int, ...]]:
         """Ids of each distinct pre-token."""
         slot = self.hash(hashes).tolist()
         out, cache, slots, rank = [], self.cache, self.slots, self.slot_rank
@@ -223,7 +227,7 @@ class Codec:
             cache.clear()
         for t, s in zip(tokens, slot):
             if slots[s] == t:
-                out.append([int(rank[s])])
+                out.append((int(rank[s]),))
                 continue
             ids = cache.get(t)
             if ids is None:
@@ -231,7 +235,7 @@ class Codec:
             out.append(ids)
         return out
 
-    def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
         """(ids of each distinct pre-token, which of them each pre-token is, row of each pre-token)."""
         starts, ends, rows = pre_tokens(data, offs)
         h = c.span_hashes(data, None, starts, ends)
@@ -259,7 +263,8 @@ def _per_row(which: np.ndarray, rows: np.ndarray, n: int) -> Iterator[list[int]]
 def _digest_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec: Codec = shared.value
-        for rows, data, offs in c.slices(batches, "text"):
+        c.trim()
+        for rows, data, offs in c.slices(batches, "text", SLICE_BYTES):
             ids, which, row = codec.encode_slice(data, offs)
             n = rows.num_rows
             size = np.array([len(x) for x in ids], np.int64)
@@ -271,6 +276,8 @@ def _digest_batches(shared):
                 b.append(hashlib.sha256(b"".join([back[w] for w in mine])).hexdigest())
             count = np.bincount(row, size[which], n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(count), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            del ids, which, row, written, back
+            c.trim()
 
     return run
 
@@ -278,7 +285,8 @@ def _digest_batches(shared):
 def _encode_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec: Codec = shared.value
-        for rows, data, offs in c.slices(batches, "text"):
+        c.trim()
+        for rows, data, offs in c.slices(batches, "text", SLICE_BYTES):
             ids, which, row = codec.encode_slice(data, offs)
             size = np.array([len(x) for x in ids], np.int64)
             flat = np.array([i for x in ids for i in x], np.int32)

@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -725,6 +728,26 @@ def test_bpe_perfect_hash_is_minimal(reference_encoding):
     assert len(own.slots) == len(own.ranks) and set(own.slots) == set(own.ranks)
 
 
+def test_bpe_worker_memory():
+    """A worker keeps little more than what it remembers, whatever it has encoded: it shares the executor's memory with a grown heap."""
+    code = """
+import re, numpy as np, pyarrow as pa
+from sparkshelf.llm import bpe
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+class Shared: value = bpe.Codec(bpe.read_ranks(bpe.default_vocabulary()))
+r = np.random.default_rng(1)
+words = np.array(["".join(map(chr, r.integers(97, 123, 9))) for _ in range(150_000)])
+text = [" ".join(words[r.integers(0, len(words), 200)]) for _ in range(3000)]
+batch = pa.record_batch({"doc_id": pa.array(range(3000)), "text": pa.array(text)})
+next(bpe._digest_batches(Shared)(iter([batch.slice(0, 1)])))
+before = held()
+assert sum(x.num_rows for x in bpe._digest_batches(Shared)(iter([batch]))) == 3000
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert float(got.stdout) < 45, got.stderr
+
+
 def test_bpe_digests(spark, reference_encoding):
     lib = reference_encoding[0]
     rows = EDGES + [(30, "x" * 3000 + " " * 50)]
