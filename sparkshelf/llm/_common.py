@@ -53,7 +53,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_table(n: int, which: str) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        base = np.full(max(n, SLICE_BYTES + 1), _BASE if which == "pow" else _BASE_INV, dtype=np.uint64)
+        base = np.full(1 << max(18, (n - 1).bit_length()), _BASE if which == "pow" else _BASE_INV, dtype=np.uint64)
         base[0] = 1
         have = np.multiply.accumulate(base)
         if n <= 4 * SLICE_BYTES:
@@ -131,6 +131,24 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def _hold_while_running() -> None:
+    """Sets M_MMAP_THRESHOLD and M_TRIM_THRESHOLD to what they can grow to by themselves: without, a new process faults on each page again and again."""
+    if hasattr(_LIBC, "mallopt"):
+        _LIBC.mallopt(-3, 32 << 20)
+        _LIBC.mallopt(-1, 64 << 20)
+
+
+def lean(run):
+    """`run` (of batches), after which the process keeps little of what it held: an executor's workers wait side by side."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_while_running()
+        yield from run(batches)
+        trim()  # what `run` held is free by now
+
+    return out
+
+
 def words_of(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, row) of every contract word, A-Z lower-cased."""
     data = LOWER[data] if lower else data
@@ -411,6 +429,23 @@ def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u[begin], v[rest]])), pa.array(np.concatenate([v[begin], low[rest]]))], names=["u", "v"])
 
 
+def _near_hub_stars(hubs: np.ndarray, least: np.ndarray):
+    return lambda batches: _near_stars(_hub_stars(hubs, least)(batches))
+
+
+def _near_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Large stars, and near stars of these by 10,000 links or so: two steps in one process, where each mapInArrow of a stage takes one."""
+    held, size = [], 0
+    for batch in _stars(True)(batches):
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 10_000:
+            yield from _near_stars(iter([pa.concat_batches(held)]))
+            held, size = [], 0
+    if held:
+        yield from _near_stars(iter([pa.concat_batches(held)]))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of an edge table: the root is the smallest node its component holds.
 
@@ -444,13 +479,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     pairs, path = table(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")))
     before, hubs = digest(pairs)
     for _ in range(most_rounds if before[0] else 0):
-        large = by_node(pairs.mapInArrow(_both_ways(hubs), ddl), 2 * before[0]).mapInArrow(_stars(True), ddl)
+        large = by_node(pairs.mapInArrow(_both_ways(hubs), ddl), 2 * before[0]).mapInArrow(_near_large, ddl)
         if len(hubs):
             low = {r["node"]: r["low"] for r in pairs.mapInArrow(_hub_minima(hubs), "node bigint, low bigint").groupBy("node").agg(F.min("low").alias("low")).collect()}
             least = np.minimum(hubs, np.array([low[h] for h in hubs.tolist()], np.int64))
-            large = large.unionByName(pairs.mapInArrow(_hub_stars(hubs, least), ddl))
+            large = large.unionByName(pairs.mapInArrow(_near_hub_stars(hubs, least), ddl))
         old = path
-        pairs, path = table(by_node(large.mapInArrow(_near_stars, ddl), before[0]).mapInArrow(_stars(False), ddl))
+        pairs, path = table(by_node(large, before[0]).mapInArrow(_stars(False), ddl))
         remove(spark, old)
         after, hubs = digest(pairs)
         if before == after:

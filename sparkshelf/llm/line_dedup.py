@@ -49,7 +49,7 @@ SHINGLE, SIMILAR = 8, 0.8
 HASHES, BINS = 5, 18
 #: Lines of so many different shingles sign half of them.
 FEW = 64
-#: Bytes of text in hand while signing: small enough for the cache of a core.
+#: Bytes of text in hand while lines are found and signed: small enough for the cache of a core.
 SLICE = 1 << 18
 CHUNK, CHUNK_BYTES = 2048, 4 << 20
 #: Text in hand while comparing.
@@ -177,7 +177,7 @@ def band_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offs in c.slices(batches, "text"):
+    for rows, data, offs in c.slices(batches, "text", SLICE):
         starts, ends, row, number = lines_of(data, offs)
         yield pa.RecordBatch.from_arrays([pa.array(c.signed(c.span_hashes(data, None, starts, ends))), *(x.take(pa.array(row)) for x in rows.columns[:2]), pa.array(number.astype(np.int32))], names=["line", "doc_id", "row_key", "number"])
 
@@ -193,15 +193,18 @@ def _band_blocks(n_buckets: int):
 
         def flush():
             lines, long, sig = (np.concatenate(x) for x in zip(*held))
-            key = (sig + np.arange(BINS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)).ravel()
-            key = c.mix(key)
-            who, long = np.repeat(lines, BINS), np.repeat(long, BINS)
-            b = (key >> U64(32)) % U64(n_buckets)
-            order = np.argsort(b.astype(np.uint16) if n_buckets < 65536 else b, kind="stable")
-            b, key, who, long = b[order].astype(np.int64), key[order].astype(np.uint32), who[order], long[order]
+            held.clear()
+            sig += np.arange(BINS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
+            key = c.mix(sig.ravel())
+            del sig
+            b = ((key >> U64(32)) % U64(n_buckets)).astype(np.uint16 if n_buckets < 65536 else np.int64)
+            order = np.argsort(b, kind="stable")
+            b, key = b[order], key.astype(np.uint32)[order]
+            order //= BINS  # the line of each entry
+            who, long = lines[order], long[order]
+            del order
             cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
             ends = np.append(cuts[1:], len(b))
-            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([who[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([long[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["bucket", "keys", "lines", "sizes"])
 
         for _, data, offs in c.slices(batches, "text", SLICE):
@@ -316,7 +319,7 @@ def _active_texts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom: np.ndarray = shared.value
         sent: set[int] = set()
-        for _, data, offs in c.slices(batches, "text"):
+        for _, data, offs in c.slices(batches, "text", SLICE):
             starts, ends, _, _ = lines_of(data, offs)
             if not len(starts):
                 continue
@@ -465,20 +468,20 @@ def line_links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = c.n_buckets(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    blocks = texts.mapInArrow(_band_blocks(n), "bucket int, keys binary, lines binary, sizes binary")
-    sets = c.deal(blocks, n).sortWithinPartitions("bucket").mapInArrow(_sets, "set bigint, members binary, sizes binary")
+    blocks = texts.mapInArrow(c.lean(_band_blocks(n)), "bucket int, keys binary, lines binary, sizes binary")
+    sets = c.deal(blocks, n).sortWithinPartitions("bucket").mapInArrow(c.lean(_sets), "set bigint, members binary, sizes binary")
     members = c.cut(sets.repartition("set").groupBy("set").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes")).mapInArrow(_memberships, "line bigint, task bigint"))
     shared = spark.sparkContext.broadcast(c.bloom(members.select("line").distinct(), BLOOM_BYTES))
     # Dealt before they are grouped: a task sends a line once, so there is little to combine on the map side.
-    bodies = texts.mapInArrow(_active_texts(shared), "line bigint, body binary").repartition("line").groupBy("line").agg(F.first("body").alias("body"))
+    bodies = texts.mapInArrow(c.lean(_active_texts(shared)), "line bigint, body binary").repartition("line").groupBy("line").agg(F.first("body").alias("body"))
     tasks = members.join(bodies, "line").select("task", "line", "body")
-    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify, "a bigint, b bigint")
+    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(c.lean(_verify), "a bigint, b bigint")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, number) of every line to remove, once."""
     rows = docs.select("doc_id", c.row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    places = c.cut(rows.mapInArrow(_places, f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, number int"))
+    places = c.cut(rows.mapInArrow(c.lean(_places), f"line bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key bigint, number int"))
     # Lines that occur once and are near no other stay, and take no further part.
     twice = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
     member = c.components(line_links(docs))

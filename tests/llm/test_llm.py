@@ -552,6 +552,36 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_worker_memory():
+    """What workers have used goes back to the system, and few are started: they share the executor's memory with a grown heap."""
+    code = """
+import os, re, numpy as np, pandas as pd
+from pathlib import Path
+from pyspark.sql import SparkSession
+from sparkshelf.llm import line_dedup
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+r = np.random.default_rng(1)
+words = np.array(["".join(map(chr, r.integers(97, 123, 6))) for _ in range(20_000)])
+lines = [" ".join(words[r.integers(0, len(words), 12)]) for _ in range(30_000)]
+lines += [x + " end" for x in lines[:10_000]]
+texts = ["\\n".join(lines[i] for i in r.integers(0, len(lines), 35)) for _ in range(4_000)]
+docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(4_000), "text": texts})).coalesce(2)
+assert line_dedup.removals(docs).count() > 100_000
+held = []
+for p in Path("/proc").glob("[0-9]*"):
+    try:
+        up, name = re.search(r"PPid:\\s+(\\d+)", (p / "status").read_text())[1], (p / "cmdline").read_text()
+        if "pyspark.daemon" in name and "pyspark.daemon" in Path(f"/proc/{up}/cmdline").read_text() and os.getsid(int(p.name)) == os.getsid(0):
+            held.append(int(re.search(r"Pss_Anon:\\s+(\\d+)", (p / "smaps_rollup").read_text())[1]) / 1024)
+    except OSError:
+        pass
+print(len(held), sum(held))
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), start_new_session=True)
+    workers, held = map(float, got.stdout.split()) if got.stdout else (0, 0)
+    assert workers and held < 320, got.stdout + got.stderr
+
+
 # 7
 
 
