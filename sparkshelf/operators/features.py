@@ -33,7 +33,8 @@ def _score_of(pairs: DataFrame, scores: DataFrame, name: str) -> DataFrame:
 
 def _with_products(candidates: DataFrame, products: DataFrame) -> DataFrame:
     names = [n for n in ("title", "brand", "category", "title_norm", "brand_norm", "attributes_norm", "attributes_list", "text_norm") if n in products.columns]
-    return candidates.join(keep_first(products, "p_id").select("p_id", *names), "p_id", "left")
+    asked = products.join(candidates.select("p_id").distinct(), "p_id", "left_semi")
+    return candidates.join(keep_first(asked, "p_id").select("p_id", *names), "p_id", "left")
 
 
 def _frequency(pairs: DataFrame, train_pairs: DataFrame, name: str) -> DataFrame:
