@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,34 +31,40 @@ def align(preds: DataFrame, sample: DataFrame) -> DataFrame:
 
     Strategy: the strictest key that some prediction shares. Of the predictions of that key the first that no earlier
     sample row took counts, else the first. All keys of a row imply its loosest one, so rows of one loosest key are
-    settled together, and no state crosses groups. Rows of such a group are those of one query text but for case and
-    joiners; they are walked in order by an aggregate over arrays, in the JVM."""
+    settled together, and no state crosses groups. A task gets the groups one after the other, each group's predictions
+    before its rows, in order; it holds the places of one group's predictions, and each is passed once a key."""
     if missing := check_columns(preds):
         raise ValueError(f"predictions lack columns {missing}")
-    p = preds.select("ord", "query", *PIDS).withColumns({f"k_{n}": x for n, x in T.match_keys("query").items()})
-    s = sample.select("ord", "query").withColumns({f"k_{n}": x for n, x in T.match_keys("query").items()})
-    last = f"k_{STRATEGIES[-1]}"
     keys = [f"k_{n}" for n in STRATEGIES]
-    group = p.groupBy(last).agg(F.array_sort(F.collect_list(F.struct("ord", *keys[:-1]))).alias("preds"))
-    rows = s.groupBy(last).agg(F.array_sort(F.collect_list(F.struct("ord", "query", *keys[:-1]))).alias("rows"))
-    both = rows.join(group, last, "left").withColumn("preds", F.coalesce("preds", F.expr("cast(array() as array<struct<ord: bigint, " + ", ".join(f"{k}: string" for k in keys[:-1]) + ">>)")))
-
-    def settle(state, row):
-        # The strictest strategy with candidates, and those candidates.
-        by = lambda k: F.filter("preds", lambda x: x[k] == row[k])
-        found = [by(k) for k in keys[:-1]] + [F.col("preds")]
-        which = F.when(F.size(found[0]) > 0, F.lit(0))
-        for i in range(1, len(found)):
-            which = which.when(F.size(found[i]) > 0, F.lit(i))
-        at = F.transform(F.when(which == 0, found[0]).when(which == 1, found[1]).when(which == 2, found[2]).otherwise(found[3]), lambda x: x["ord"])
-        used = F.transform(state, lambda x: x["pred_ord"])
-        free = F.filter(at, lambda x: ~F.array_contains(used, x))
-        pick = F.coalesce(F.try_element_at(free, F.lit(1)), F.try_element_at(at, F.lit(1)))
-        return F.concat(state, F.array(F.struct(row["ord"].alias("ord"), row["query"].alias("sample_query"), which.alias("strategy"), pick.alias("pred_ord"))))
-
-    start = F.expr("cast(array() as array<struct<ord: bigint, sample_query: string, strategy: int, pred_ord: bigint>>)")
-    names = F.array(*map(F.lit, STRATEGIES))
-    picked = both.select(F.inline(F.aggregate("rows", start, settle))).select("ord", "sample_query", F.try_element_at(names, F.col("strategy") + 1).alias("strategy"), "pred_ord")
+    last = keys[-1]
+    row = lambda df, side: df.select(F.lit(side).alias("side"), "ord", F.col("query").alias("sample_query"), *[x.alias(f"k_{n}") for n, x in T.match_keys("query").items()])
+    both = row(preds, 0).unionByName(row(sample, 1)).repartition(last).sortWithinPartitions(last, "side", "ord", "sample_query")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, free, used = None, {}, set()
+        for b in batches:
+            out: list[tuple] = []
+            for side, place, query, *ks in zip(*(b.column(n).to_pylist() for n in ("side", "ord", "sample_query", *keys))):
+                if ks[-1] != group:
+                    group, free, used = ks[-1], {}, set()
+                if not side:
+                    for key in enumerate(ks):
+                        free.setdefault(key, [0, []])[1].append(place)
+                    continue
+                found = next((i for i, k in enumerate(ks) if (i, k) in free), None)
+                if found is None:
+                    out.append((place, query, None, None))
+                    continue
+                here = free[found, ks[found]]
+                while here[0] < len(here[1]) and here[1][here[0]] in used:
+                    here[0] += 1
+                pick = here[1][here[0] if here[0] < len(here[1]) else 0]
+                used.add(pick)
+                out.append((place, query, STRATEGIES[found], pick))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["ord", "sample_query", "strategy", "pred_ord"])
+
+    picked = both.mapInArrow(settle, "ord bigint, sample_query string, strategy string, pred_ord bigint")
     rows_of = preds.select(F.col("ord").alias("pred_ord"), F.col("query").alias("_q"), *PIDS)
     out = picked.join(rows_of, "pred_ord", "left")
     return out.select("ord", "sample_query", "strategy", "pred_ord", F.coalesce("_q", "sample_query").alias("query"), *[F.coalesce(n, F.lit("")).alias(n) for n in PIDS])

@@ -212,3 +212,29 @@ def test_normalisation_works_on_streams(spark, tmp_path):
     q = C.clean_products(stream).select("p_id", "title_norm").writeStream.format("memory").queryName("clean_stream").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("clean_stream").first().title_norm == "strasse 1"
+
+
+def test_align_of_one_large_group(spark):
+    """4,000 predictions and rows of one text; before, each row walked all of them and all taken ones."""
+    p = spark.range(4000).selectExpr("id as ord", "if(id % 2 = 0, 'Red', 'red') as query", *[f"'1' as {n}" for n in Q.PIDS])
+    s = spark.range(4000).selectExpr("id as ord", "if(id % 3 = 0, 'RED', 'red') as query")
+    free, want = {"exact": list(range(1, 4000, 2)), "casefold": list(range(4000))}, []
+    used = set()
+    for i in range(4000):
+        name = "casefold" if i % 3 == 0 else "exact"
+        pick = next((x for x in free[name] if x not in used), free[name][0])
+        used.add(pick)
+        want.append((i, name, pick))
+    assert sorted((r.ord, r.strategy, r.pred_ord) for r in Q.align(p, s).collect()) == want
+
+
+def test_head_bytes_reads_the_head_only(spark, tmp_path):
+    d = tmp_path / "d"
+    d.mkdir()
+    (d / "_meta").write_bytes(b"no")
+    (d / "a").write_bytes(b"abc" * 5000)
+    (d / "b").write_bytes(b"x")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    assert S.head_bytes(spark, str(d), 7) == b"abcabca" and S.head_bytes(spark, str(d / "b")) == b"x" and S.head_bytes(spark, str(tmp_path / "none")) == b""
+    assert len(tracker.getJobIdsForGroup(None)) == before
