@@ -66,3 +66,19 @@ def test_only_asked_products_are_sorted(queries, products):
     asked = X._with_products(queries.limit(1).selectExpr("query_id", "'p1' as p_id"), products)
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and asked.first().text_norm == "red phone 1 case 1"
+
+
+def test_serving_shuffles_no_pairs(queries, products, monkeypatch):
+    """All pairs' scores by hand, and the same whatever terms count as frequent; before, every pair was shuffled."""
+    bm25, cosine = (rows_ for rows_ in ({(r.query_id, r.p_id): r[n] for r in df.collect()} for n, df in (("bm25", I.bm25_scores(queries, products, I.SERVE, "query")), ("tfidf", I.tfidf_scores(queries, products, I.TFIDF_SERVE, "query")))))
+    want, n = {}, products.count()
+    for q in {q for q, _ in bm25}:
+        b = {p: x for (r, p), x in bm25.items() if r == q}
+        lo, hi = (min(b.values()), max(b.values())) if len(b) == n else (0.0, max(b.values()))
+        for p in {p for r, p in (*bm25, *cosine) if r == q}:
+            want[q, p] = 0.6 * cosine.get((q, p), 0.0) + 0.4 * ((b[p] - lo) / (hi - lo) if p in b and hi > lo else b.get(p, 0.0))
+    for frequent in (1, 200_000):
+        monkeypatch.setattr(V, "FREQUENT", frequent)
+        got = V.serve_candidates(queries, products, 40).collect()
+        assert {(r.query_id, r.p_id): r.score for r in got if r.score} == pytest.approx({k: x for k, x in want.items() if x})
+        assert {r.query_id: r.tfidf for r in got if r.p_id == "p1"} == pytest.approx({q: cosine.get((q, "p1"), 0.0) for q in ("red case 1", "blue blue 4", "none")})
