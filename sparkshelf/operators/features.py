@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from . import index as I
+from . import relational as R
 from . import retrieval as V
 from .catalog import keep_first
 
@@ -33,7 +34,7 @@ def _score_of(pairs: DataFrame, scores: DataFrame, name: str) -> DataFrame:
 
 def _with_products(candidates: DataFrame, products: DataFrame) -> DataFrame:
     names = [n for n in ("title", "brand", "category", "title_norm", "brand_norm", "attributes_norm", "attributes_list", "text_norm") if n in products.columns]
-    asked = products.join(candidates.select("p_id").distinct(), "p_id", "left_semi")
+    asked = R.only(products, candidates, "p_id")
     return candidates.join(keep_first(asked, "p_id").select("p_id", *names), "p_id", "left")
 
 

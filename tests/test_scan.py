@@ -1,6 +1,9 @@
 """Scores by scanning the products: no shuffle of pairs, blocks, repeated ids, and the best of each task."""
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkshelf.operators import features as X
 from sparkshelf.operators import index as I
@@ -82,3 +85,39 @@ def test_serving_shuffles_no_pairs(queries, products, monkeypatch):
         got = V.serve_candidates(queries, products, 40).collect()
         assert {(r.query_id, r.p_id): r.score for r in got if r.score} == pytest.approx({k: x for k, x in want.items() if x})
         assert {r.query_id: r.tfidf for r in got if r.p_id == "p1"} == pytest.approx({q: cosine.get((q, "p1"), 0.0) for q in ("red case 1", "blue blue 4", "none")})
+
+
+def test_candidates_read_texts_once(spark, queries, products):
+    """Before, every text was normalised and read twice: for frequencies and for scores."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts
+
+    noted = products.withColumn("text_norm", F.pandas_udf(note, "string")("text_norm"))
+    assert V.bm25_candidates(queries, noted, 3).count() == 6 and read.value == 40
+
+
+def test_only_asked_products_are_scored(spark, queries, products):
+    """Before, the texts of all products were joined with the pairs."""
+    noted = products.withColumn("text_norm", F.pandas_udf(lambda x: x, "string")("text_norm"))
+    pairs = spark.createDataFrame([("red case 1", "p1"), ("red case 1", "p2")], "query_id string, p_id string")
+    got = I.bm25_scores(queries, noted, pairs=pairs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" in plan[plan.index("ArrowEvalPython") :]
+    every = rows(I.bm25_scores(queries, products), "bm25")
+    assert rows(got, "bm25") == {("red case 1", p): every["red case 1", p] for p in ("p1", "p2") if ("red case 1", p) in every}
+
+
+def test_weights_are_a_matrix():
+    rng = np.random.default_rng(1)
+    w, x = rng.random((7, 5)) * (rng.random((7, 5)) < 0.4), rng.random((6, 7)) * (rng.random((6, 7)) < 0.5)
+    (t, q), (d, u) = np.nonzero(w), np.nonzero(x)
+    score, there = S.Weights(t, q, w[t, q], 7, 5)(d, u, x[d, u], 6)
+    assert np.allclose(score, x @ w) and (there == ((x > 0).astype(int) @ (w > 0) > 0)).all()
+
+
+def test_words_of_any_text():
+    for x in ("red phone", "a-b  c d", "ë x", "۔٠ \x1cy", "", " ", "ẗ_1"):
+        assert S._WORD(x) == S._WORD_RUNS(x)
