@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
 from . import relational as R
+from . import scan as S
 
 SAMPLE = 5000
 
 
+def _token_count(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else len(S._WORD(x)) for x in texts], dtype=object)
+
+
 def catalog_summary(products: DataFrame, text: str = "text_norm", sample: int = SAMPLE) -> DataFrame:
     """One row: n_products, avg_tokens, median_tokens, avg_chars, pct_with_attributes, vocab_size_sample."""
-    n = F.size(T.tokens(text))
+    n = F.pandas_udf(_token_count, "int")(text)  # where the normaliser runs, so no text comes back from it
     chars = F.avg(F.length("text" if "text" in products.columns else text))
     attrs = F.avg((F.size("attributes_list") > 0).cast("int")) if "attributes_list" in products.columns else F.lit(None).cast("double")
     base = products.agg(F.count("*").alias("n_products"), F.avg(n).alias("avg_tokens"), F.percentile(n, 0.5).alias("median_tokens"), chars.alias("avg_chars"), attrs.alias("pct_with_attributes"))
@@ -23,9 +33,35 @@ def catalog_summary(products: DataFrame, text: str = "text_norm", sample: int =
 
 
 def token_frequency(products: DataFrame, k: int = 50, text: str = "text_norm") -> DataFrame:
-    """(token, n): the k most frequent, ties by first appearance (row, then place)."""
-    words = products.select("ord", F.posexplode(T.tokens(text)).alias("pos", "token"))
-    counted = words.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
+    """(token, n): the k most frequent, ties by first appearance (row, then place). Tasks count in dictionaries of
+    `scan.HELD_TERMS` tokens or so; sums and first places are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first, last = Counter(), {}, -(1 << 63)
+
+        def out() -> pa.RecordBatch:
+            places = [first[t] for t in total]
+            got = pa.RecordBatch.from_pydict({"token": pa.array(total.keys(), pa.string()), "n": pa.array(total.values(), pa.int64()), "ord": pa.array([x[0] for x in places], pa.int64()), "pos": pa.array([x[1] for x in places], pa.int64())})
+            total.clear()
+            first.clear()
+            return got
+
+        for b in S._slices(batches, 1000):
+            for place, x in zip(b.column("_ord").to_pylist(), b.column("_text").to_pylist()):
+                if x is None:
+                    continue
+                words = S._WORD(x)
+                total.update(words)
+                # In rows of rising place only tokens not met before have their first one here.
+                for t in set(words).difference(first) if place > last else set(words):
+                    first[t] = min(first.get(t, (place, len(words))), (place, words.index(t)))
+                last = max(last, place)
+                if len(total) > S.HELD_TERMS:
+                    yield out()
+        yield out()
+
+    parts = products.select(F.col("ord").cast("bigint").alias("_ord"), F.col(text).alias("_text")).mapInArrow(count, "token string, n bigint, ord bigint, pos bigint")
+    counted = parts.groupBy("token").agg(F.sum("n").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
     return counted.orderBy(F.col("n").desc(), "first").limit(k).select("token", "n")
 
 
@@ -58,7 +94,7 @@ def query_length_distribution(queries: DataFrame, column: str = "query") -> Data
 def lexical_overlap(pairs: DataFrame, products: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Share of the raw query's distinct tokens in the product's normalised text, over a sample of pairs: mean, median, population deviation, p90."""
     some = R.sample(pairs, sample, "ord")
-    joined = R.lookup(some, products, "p_id", "text_norm", "")
+    joined = R.lookup(some, R.only(products, some, "p_id"), "p_id", "text_norm", "")
     q, p = F.array_distinct(T.tokens("query")), T.tokens("text_norm")
     share = F.when(F.size(q) > 0, A.overlap(q, p) / F.size(q)).otherwise(F.lit(0.0))
     return joined.select(share.alias("o")).agg(F.avg("o").alias("mean"), F.percentile("o", 0.5).alias("median"), F.stddev_pop("o").alias("std"), F.percentile("o", 0.9).alias("p90"))

@@ -1,12 +1,16 @@
 """Scores by scanning the products: no shuffle of pairs, blocks, repeated ids, and the best of each task."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkshelf.operators import analysis as G
 from sparkshelf.operators import features as X
 from sparkshelf.operators import index as I
+from sparkshelf.operators import relational as R
 from sparkshelf.operators import retrieval as V
 from sparkshelf.operators import scan as S
 
@@ -121,3 +125,27 @@ def test_weights_are_a_matrix():
 def test_words_of_any_text():
     for x in ("red phone", "a-b  c d", "ë x", "۔٠ \x1cy", "", " ", "ẗ_1"):
         assert S._WORD(x) == S._WORD_RUNS(x)
+
+
+def test_sample_reads_few_texts(spark, products):
+    """Before, all texts were normalised, and each task handed its first n rows on whole."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts
+
+    noted = products.withColumn("text_norm", F.pandas_udf(note, "string")("text_norm"))
+    got = [(r.p_id, r.text_norm) for r in R.sample(noted, 2, "p_id").collect()]
+    by_md5 = sorted(products.collect(), key=lambda r: hashlib.md5(f"42:{r.p_id}".encode()).hexdigest())
+    assert got == [(r.p_id, r.text_norm) for r in by_md5[:2]] and read.value < 20
+
+
+def test_token_frequency_by_first_place(spark, products, monkeypatch):
+    """Counts are summed in tasks, not one row a token; ties fall to the first row and place."""
+    p = spark.createDataFrame([(2, "b a a"), (0, "c d"), (1, "d c b"), (3, None)], "ord int, text_norm string").repartition(3)
+    want = [("c", 2), ("d", 2), ("b", 2), ("a", 2)]
+    assert [(r.token, r.n) for r in G.token_frequency(p).collect()] == want
+    monkeypatch.setattr(S, "HELD_TERMS", 0)
+    assert [(r.token, r.n) for r in G.token_frequency(p).collect()] == want
+    assert "Generate" not in G.token_frequency(p)._jdf.queryExecution().executedPlan().toString()
