@@ -758,6 +758,18 @@ def test_bpe_perfect_hash_is_minimal(reference_encoding):
     assert len(own.slots) == len(own.ranks) and set(own.slots) == set(own.ranks)
 
 
+def test_bpe_short_words_merge_in_a_list(reference_encoding):
+    """The same ids as by the heap, which is kept for long words only; before, every word built one."""
+    codec = reference_encoding[1]
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.choice(list(b"aabetr \xd9\x84nnxq0"), n).tolist()) for n in [1, 2, 3, *range(4, 70)] * 4]
+    by_heap = [codec.merge_by_heap(w) for w in words]
+    codec.merge_by_heap = None
+    assert [codec.merge(w) for w in words if len(w) <= bpe.SHORT] == [x for w, x in zip(words, by_heap) if len(w) <= bpe.SHORT]
+    del codec.merge_by_heap
+    assert [codec.merge(w) for w in words] == by_heap
+
+
 def test_bpe_worker_memory():
     """A worker keeps little more than what it remembers, whatever it has encoded: it shares the executor's memory with a grown heap."""
     code = """
