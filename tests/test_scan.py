@@ -1,6 +1,7 @@
 """Scores by scanning the products: no shuffle of pairs, blocks, repeated ids, and the best of each task."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkshelf.operators import analysis as G
 from sparkshelf.operators import features as X
+from sparkshelf.operators import grams as N
 from sparkshelf.operators import index as I
 from sparkshelf.operators import relational as R
 from sparkshelf.operators import retrieval as V
@@ -149,3 +151,72 @@ def test_token_frequency_by_first_place(spark, products, monkeypatch):
     monkeypatch.setattr(S, "HELD_TERMS", 0)
     assert [(r.token, r.n) for r in G.token_frequency(p).collect()] == want
     assert "Generate" not in G.token_frequency(p)._jdf.queryExecution().executedPlan().toString()
+
+
+def vocabularies(products, preset, monkeypatch, **parts):
+    rows_, words = S.by_product(products, F.col("text_norm"), "p_id"), S._WORD
+    monkeypatch.setattr(S, "SKETCHED", 10**9)
+    want = {tuple(r.values()) for r in I._bounded_vocabulary(rows_, words, 60, preset).to_pylist()}
+    monkeypatch.setattr(S, "SKETCHED", 0)
+    for name, value in parts.items():
+        monkeypatch.setattr(N, name, value)
+    return rows_, words, want, {tuple(r.values()) for r in I._bounded_vocabulary(rows_, words, 60, preset).to_pylist()}
+
+
+@pytest.fixture(scope="module")
+def long_products(spark):
+    text = lambda i: " ".join(f"w{i * j * j % (7 + j)}" for j in range(1, 60)) + f" only{i}"
+    return spark.createDataFrame([(i, f"p{i}", text(i) if i % 9 else None) for i in range(60)], "ord bigint, p_id string, text_norm string").repartition(3)
+
+
+def test_vocabulary_counts_few_terms(long_products, monkeypatch):
+    """Before, every n-gram of every task was shuffled and kept; now those that can't be among the most frequent aren't."""
+    rows_, words, want, got = vocabularies(long_products, I.TfIdf(min_df=2, max_features=20), monkeypatch, SAMPLE=1)
+    assert got == want and len(got) == 20
+    least, marks = S.least_total(rows_, words, 60, 2, 1.0, 20)
+    every, few = S.term_stats(rows_, words), S.term_stats(rows_, words, marks=marks)
+    assert least > 1 and few.count() < every.count() / 2
+    assert set(few.where(F.col("total") >= least).collect()) == set(every.where(F.col("total") >= least).collect())
+
+
+def test_misleading_sample(long_products, monkeypatch):
+    monkeypatch.setattr(S, "least_total", lambda *a: (10**6, np.zeros(8, np.uint8)))
+    rows_, words, want, got = vocabularies(long_products, I.TfIdf(min_df=1, max_features=60), monkeypatch)
+    assert got == want and len(got) == 60
+
+
+@pytest.mark.parametrize("bounds", [{}, {"WORDS": 100, "DOCS": 7, "HELD_WORDS": 50, "HELD_KEYS": 100}, {"HELD_WORDS": 30, "WORDS": 500, "HELD_KEYS": 50}])
+def test_ngrams_are_counted_in_chunks(bounds, monkeypatch):
+    """As dictionaries of strings count them; of no n-gram are there more than the sketch's bucket has."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(1)
+    products = [[None if rng.random() < 0.1 else " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 30))) for _ in range(rng.integers(1, 3))] for _ in range(200)]
+    want, got, sketch = Counter(), Counter(), N.Sketch()
+    for texts in products:
+        g = [x for t in texts if t is not None for x in S.grams(t.split())]
+        want.update({(x, "total"): n for x, n in Counter(g).items()})
+        want.update((x, "df") for x in set(g))
+    for b in N.Counted(str.split, None, sketch)(products):
+        for t, df, total in zip(*(c.to_pylist() for c in b.columns)):
+            got.update({(t, "df"): df, (t, "total"): total})
+    assert got == want
+    terms = [t for t, x in want if x == "total"]
+    assert (sketch.n[N.buckets(N.hashes(terms), N.SKETCH)] >= [want[t, "total"] for t in terms]).all()
+    assert sketch.n.sum() == sum(want[t, "total"] for t in terms)
+
+
+def test_frequencies_of_asked_terms(spark, long_products):
+    """Before, the terms of all products were shuffled to find those of a few pairs."""
+    rows_, words = S.by_product(long_products, F.col("text_norm"), "p_id"), S._WORD
+    wanted = spark.createDataFrame([("w1",), ("w1 w4",), ("only5",), ("none",)], "term string")
+    every = {r for r in S.term_stats(rows_, words).collect() if r.term in ("w1", "w1 w4", "only5")}
+    few = S.term_stats(rows_, words, marks=S.marks_of(wanted)).collect()
+    assert len(every) >= 2 and every == set(few)
+
+
+def test_lookup_finds_the_vocabulary():
+    terms = {t: i for i, t in enumerate(["a", "b c", "c", "a a", "zz"])}
+    doc, term, tf = N.Lookup(terms)([["a a a", None], ["b c", "c b"], [""], ["q"]], str.split)
+    assert list(zip(doc, term, tf)) == [(0, 0, 3.0), (0, 3, 2.0), (1, 1, 1.0), (1, 2, 2.0)]
+    assert [len(x) for x in N.Lookup({})([["a"]], str.split)] == [0, 0, 0]
