@@ -220,3 +220,15 @@ def test_lookup_finds_the_vocabulary():
     doc, term, tf = N.Lookup(terms)([["a a a", None], ["b c", "c b"], [""], ["q"]], str.split)
     assert list(zip(doc, term, tf)) == [(0, 0, 3.0), (0, 3, 2.0), (1, 1, 1.0), (1, 2, 2.0)]
     assert [len(x) for x in N.Lookup({})([["a"]], str.split)] == [0, 0, 0]
+
+
+def test_train_candidates_score_once(spark, queries, products):
+    """Before, texts were read for the scores once for each use of the hits: now once for the vocabulary and once for these."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts
+
+    noted = products.withColumn("text_norm", F.pandas_udf(note, "string")("text_norm"))
+    assert V.train_candidates(queries, noted, 3).count() == 9 and read.value == 80
