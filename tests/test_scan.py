@@ -105,6 +105,38 @@ def test_candidates_read_texts_once(spark, queries, products):
     assert V.bm25_candidates(queries, noted, 3).count() == 6 and read.value == 40
 
 
+def test_all_pairs_read_texts_once(spark, queries, products):
+    """Before, every text was normalised and read twice: for frequencies and for scores."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts
+
+    noted = products.withColumn("text_norm", F.pandas_udf(note, "string")("text_norm"))
+    assert rows(I.bm25_scores(queries, noted, digits=6), "bm25") == {k: pytest.approx(round(x.expected, 6)) for k, x in rows(I.bm25_scores(queries, products), "bm25").items()}
+    assert read.value == 40
+
+
+def test_finder_finds_what_a_dictionary_does(monkeypatch):
+    """Words of all lengths, with the same beginnings, of several bytes a character and longer than any term; also where many terms share a cell."""
+    words = ["a", "ab", "a_b", "abcdefgh", "abcdefghi", "abcdefgh" * 2, "abcdefgh" * 2 + "x", "日本語日本語", "日本語日本語日", "z" * 100_000, "ünï", *(f"w{i}" for i in range(50))]
+    terms = {t: i for i, t in enumerate(words[1::2])}
+    products = [[" ".join(words), None], [], [None], ["", "a ab\tab, a_b  abcdefghi! abcdefgh"], [" ".join(reversed(words))] * 2]
+    for bits in (18, 3):
+        monkeypatch.setattr(S.Finder, "BITS", bits)
+        for tokenizer in (S._WORD, S._words_split, S._words_vectorizer):
+            for given in (terms, {}):
+                got, want = S.term_matches(products, tokenizer, given, S.Finder(given)), S.term_matches(products, tokenizer, given)
+                assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+
+
+def test_decimals_are_those_of_round(spark):
+    x = [0.0, -0.0, 1e-9, -1e-9, 0.0000005, -0.0000005, 1.0000005, 2.5000015, 0.1234565, 1.4999995, -7.1234565, 8.000000499999999, 123456.7890125, 1e12 / 3, 2.0**70, 1e300, *np.random.default_rng(3).normal(0, 10, 2000).tolist(), *(i / 1e6 + 5e-7 for i in range(2000))]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert [repr(v) for v in S.decimals(np.array(x), 6).tolist()] == [repr(v) for v in want]
+
+
 def test_only_asked_products_are_scored(spark, queries, products):
     """Before, the texts of all products were joined with the pairs."""
     noted = products.withColumn("text_norm", F.pandas_udf(lambda x: x, "string")("text_norm"))
