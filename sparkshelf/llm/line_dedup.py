@@ -20,7 +20,8 @@ Steps.
 4. The texts of those lines, and of no others, meet their sets. A Bloom filter of at
    most `BLOOM_BYTES` keeps the other texts on the map side; it may pass too many,
    never too few, so its bound costs shuffle, not results.
-5. Members of a set are compared exactly, unless they are linked already. A set of
+5. Sets of `JOINED` members or fewer that have their least member in common become one, as near copies share several bands
+   each. Members of a set are compared exactly, unless they are linked already. A set of
    more than `CHUNK` members or `CHUNK_BYTES` of text is dealt out as pairs of chunks,
    so that a task holds two chunks (or two lines, if these are longer) whatever the
    set's size. A task gives a spanning forest of its links.
@@ -52,6 +53,10 @@ FEW = 64
 #: Bytes of text in hand while lines are found and signed: small enough for the cache of a core.
 SLICE = 1 << 18
 CHUNK, CHUNK_BYTES = 2048, 4 << 20
+#: Sets of so many members at most are joined with those of the same least member: 2 * BINS of them, as a line has so many bands.
+JOINED = 32
+#: Lines x shingles of a set that is compared as a matrix.
+MATRIX_CELLS = 4_000_000
 #: Text in hand while comparing.
 VERIFY_BYTES = 1 << 20
 BLOOM_BYTES = 16 << 20
@@ -231,7 +236,7 @@ def _band_blocks(n_buckets: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket: (set, members, sizes) of every band value that two lines or more share, equal sets of the
-    partition once."""
+    partition once. A small set is named by its least member, a large one by all."""
     seen: set[int] = set()
 
     def done(keys: list[bytes], lines: list[bytes], sizes: list[bytes]):
@@ -248,12 +253,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.flatnonzero(size > 1)
         if not len(many):
             return None
-        name = c.mix(np.add.reduceat(c.mix(who), cuts) + size.astype(np.uint64))[many]
+        name = c.mix(np.add.reduceat(c.mix(who), cuts) + size.astype(np.uint64))
+        called = np.where(size <= JOINED, np.minimum.reduceat(who, cuts), name)[many]
         names, members, widths = [], [], []
-        for s, lo, n in zip(name.tolist(), cuts[many].tolist(), size[many].tolist()):
+        for s, x, lo, n in zip(name[many].tolist(), called.tolist(), cuts[many].tolist(), size[many].tolist()):
             if s not in seen:
                 seen.add(s)
-                names.append(s)
+                names.append(x)
                 members.append(who[lo : lo + n].tobytes())
                 widths.append(long[lo : lo + n].tobytes())
         if not names:
@@ -288,29 +294,48 @@ def _chunks(long: np.ndarray) -> np.ndarray:
     return out
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(set, members, sizes) of rows sorted by set: all members of the rows of a name, once."""
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray]:
+        who, long = (np.frombuffer(b"".join(x), t) for x, t in ((have, np.int64), (have.values(), np.uint8)))
+        if len(have) > 1:
+            who, first = np.unique(who, return_index=True)
+            long = long[first]
+        return name, who, long
+
+    name, have = None, {}
+    for batch in batches:
+        for s, members, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if s != name:
+                if have:
+                    yield whole()
+                name, have = s, {}
+            have[members] = sizes
+    if have:
+        yield whole()
+
+
 def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line, task) of each member: one task for a set, or for each pair of chunks of a large one."""
     lines, tasks, size = [], [], 0
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lines)), pa.array(np.concatenate(tasks))], names=["line", "task"])
-
-    for batch in batches:
-        for name, members, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            who = np.frombuffer(members, np.int64)
-            chunk = _chunks(np.frombuffer(sizes, np.uint8))
-            parts = int(chunk[-1]) + 1
-            edge = np.searchsorted(chunk, np.arange(parts + 1))
-            for a in range(parts):
-                for b in range(a + 1, parts) if parts > 1 else [0]:
-                    mine = np.concatenate([who[edge[k] : edge[k + 1]] for k in sorted({a, b})])
-                    pair = np.array([name, a << 32 | b]).view(np.uint64)
-                    lines.append(mine)
-                    tasks.append(np.full(len(mine), c.signed(c.mix(pair[:1] + c.mix(pair[1:])))[0]))
-                    size += len(mine)
-                    if size >= 50_000:
-                        yield flush()
-                        lines, tasks, size = [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lines)), pa.array(np.repeat(np.array(tasks, np.uint64).view(np.int64), [len(x) for x in lines]))], names=["line", "task"])
+
+    for name, who, long in _named(batches):
+        chunk = _chunks(long)
+        parts = int(chunk[-1]) + 1
+        edge = np.searchsorted(chunk, np.arange(parts + 1))
+        for a in range(parts):
+            for b in range(a + 1, parts) if parts > 1 else [0]:
+                lines.append(np.concatenate([who[edge[k] : edge[k + 1]] for k in sorted({a, b})]) if parts > 1 else who)
+                pair = np.array([name, a << 32 | b]).view(np.uint64)
+                tasks.append(int(c.mix(pair[:1] + c.mix(pair[1:]))[0]))
+                size += len(lines[-1])
+                if size >= 50_000:
+                    yield flush()
+                    lines, tasks, size = [], [], 0
     if lines:
         yield flush()
 
@@ -346,17 +371,26 @@ def linked(bodies: list[bytes], similar: float = SIMILAR) -> Iterator[tuple[int,
     data = np.frombuffer(b"".join(bodies), np.uint8)
     ends = np.cumsum([len(b) for b in bodies])
     h, line = shingle_hashes(data, np.concatenate([[0], ends[:-1]]), ends)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
+    terms, term = np.unique(h, return_inverse=True)
+    forest = c.Forest(len(bodies))
+    if len(bodies) * len(terms) <= MATRIX_CELLS:
+        has = np.zeros((len(bodies), len(terms)), np.float32)
+        has[line, term] = 1
+        shared = (has @ has.T).astype(np.float64)  # counts below 2^24: exact
+        size = shared.diagonal()
+        for i, k in np.argwhere(np.triu(shared >= similar * (size[:, None] + size - shared) - 1e-9, 1)).tolist():
+            if forest.join(i, k):
+                yield i, k
+        return
+    order = np.lexsort((term, line))
+    term, line = term[order], line[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (line[1:] != line[:-1])
+    term, line = term[new], line[new]
     size = np.bincount(line, minlength=len(bodies))
     begin = np.concatenate([[0], np.cumsum(size)])
-    forest = c.Forest(len(bodies))
     apart = len(bodies) - 1
     # Each line against all later lines of other components at once: shingles shared are counted through an inverted list.
-    terms, term = np.unique(h, return_inverse=True)
     by = np.argsort(term, kind="stable")
     where = np.searchsorted(term[by], np.arange(len(terms) + 1))
     holders = line[by]
@@ -470,7 +504,7 @@ def line_links(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     blocks = texts.mapInArrow(c.lean(_band_blocks(n)), "bucket int, keys binary, lines binary, sizes binary")
     sets = c.deal(blocks, n).sortWithinPartitions("bucket").mapInArrow(c.lean(_sets), "set bigint, members binary, sizes binary")
-    members = c.cut(sets.repartition("set").groupBy("set").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes")).mapInArrow(_memberships, "line bigint, task bigint"))
+    members = c.cut(sets.repartition("set").sortWithinPartitions("set").mapInArrow(c.lean(_memberships), "line bigint, task bigint"))
     shared = spark.sparkContext.broadcast(c.bloom(members.select("line").distinct(), BLOOM_BYTES))
     # Dealt before they are grouped: a task sends a line once, so there is little to combine on the map side.
     bodies = texts.mapInArrow(c.lean(_active_texts(shared)), "line bigint, body binary").repartition("line").groupBy("line").agg(F.first("body").alias("body"))

@@ -11,6 +11,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -544,6 +545,31 @@ def test_line_dedup_large_set(spark, monkeypatch):
     assert {(r.doc_id, r.number) for r in line_dedup.removals(frame(spark, rows)).collect()} == lines_brute(rows)
 
 
+def test_line_dedup_joins_small_sets():
+    """Sets of one least member are compared as one: before, what they share was shuffled and compared again for each."""
+    rows = [(5, [5, 7, 9]), (5, [5, 7]), (5, [5, 9, 11]), (6, [6, 8])]
+    batch = pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), *(pa.array([np.array(m, t).tobytes() for _, m in rows], pa.binary()) for t in (np.int64, np.uint8))], names=["set", "members", "sizes"])
+    got = [(r["line"], r["task"]) for b in line_dedup._memberships(iter([batch])) for r in b.to_pylist()]
+    assert sorted(x for x, _ in got) == [5, 6, 7, 8, 9, 11] and len({t for _, t in got}) == 2
+
+
+def test_line_dedup_matrix(monkeypatch):
+    """The same lines are joined whether shared shingles are counted by matrix or by lists."""
+    rng = np.random.default_rng(5)
+    base = [bytes(rng.integers(97, 123, n).tolist()) for n in (5, 9, 60, 400)]
+    bodies = [b[: len(b) - k] + b"~" * (k % 3) for b in base for k in range(0, len(b) // 3, 3)] + [b"x"] * 2
+
+    def joined() -> list[int]:
+        forest = c.Forest(len(bodies))
+        links = list(line_dedup.linked(bodies))
+        assert all(forest.join(i, k) for i, k in links)  # a forest
+        return [forest.root(i) for i in range(len(bodies))]
+
+    by_matrix = joined()
+    monkeypatch.setattr(line_dedup, "MATRIX_CELLS", 0)
+    assert joined() == by_matrix and 1 < len(set(by_matrix)) < len(bodies)
+
+
 def test_line_dedup_edges(spark):
     docs = frame(spark, EDGES)
     out = line_dedup.drop_repeated_lines(docs)
